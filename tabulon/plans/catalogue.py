@@ -1,0 +1,4 @@
+"""Registered queries and their DuckDB text."""
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
