@@ -1,7 +1,7 @@
 """All queries of this folder."""
 
-from . import near
+from . import fingerprint, near, repeats
 
-MODULES = (near,)
+MODULES = (near, repeats, fingerprint)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}
