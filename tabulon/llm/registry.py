@@ -1,7 +1,7 @@
 """All queries of this folder."""
 
-from . import fingerprint, near, repeats, suffix
+from . import bpe, fingerprint, near, repeats, suffix
 
-MODULES = (near, repeats, suffix, fingerprint)
+MODULES = (bpe, repeats, suffix, fingerprint, near)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}
