@@ -143,15 +143,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     s.drop()
     stars = s.keep(members.where("node <> hub").select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct(), "stars")
 
+    # Texts are moved once; the documents in crowded buckets follow the corpus,
+    # so neither side is ever one to broadcast.
+    wanted = members.select("node.doc_id", "node.h").distinct()
+    texts = ids.hint("merge").join(wanted, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    sets = s.keep(texts.mapInArrow(_shingle_lists(shingle), "doc_id long, h long, set array<long>").select(F.struct("doc_id", "h").alias("node"), "set"), "sets")
+    s.drop()
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct().select("node.doc_id", "node.h")
-        texts = ids.join(wanted, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
-        sets = s.keep(texts.mapInArrow(_shingle_lists(shingle), "doc_id long, h long, set array<long>").select(F.struct("doc_id", "h").alias("node"), "set"), f"sets-{name}")
         both = pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("node").alias("y"), F.col("set").alias("sy")), "y")
         both = both.withColumn("common", F.size(F.array_intersect("sx", "sy")))
         ok = both.where(F.col("common") >= F.lit(threshold) * (F.size("sx") + F.size("sy") - F.col("common"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
         ok = s.keep(ok, f"ok-{name}")
-        s.drop(f"sets-{name}")
+        s.drop()
         return ok
 
     edges = verified(stars, "stars")
@@ -164,7 +168,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     more = verified(s.keep(rest, "rest"), "rest")
     out = components(s, edges.union(more).union(equal), "cc2")
     out = s.keep(out.select("v.doc_id", "v.h", F.col("root.doc_id").alias("keep_id"), F.col("root.h").alias("keep_h")), "out")
-    s.drop("sig", "one", "equal", "members", "stars", "rest", "ok-stars", "ok-rest")
+    s.drop("sig", "sets", "one", "equal", "members", "stars", "rest", "ok-stars", "ok-rest")
     return out
 
 

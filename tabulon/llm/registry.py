@@ -1,7 +1,7 @@
 """All queries of this folder."""
 
-from . import bpe, contamination, fingerprint, near, quality, repeats, suffix
+from . import bpe, contamination, fingerprint, near, quality, repeats, suffix, toxicity
 
-MODULES = (quality, bpe, contamination, repeats, suffix, fingerprint, near)
+MODULES = (quality, toxicity, bpe, contamination, repeats, suffix, fingerprint, near)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}

@@ -4,6 +4,7 @@ of this package on the executors."""
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -67,6 +68,7 @@ class Scratch:
         for name in names:
             p = jvm.org.apache.hadoop.fs.Path(self.path(name))
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        gc.collect()
         jvm.System.gc()
 
 
