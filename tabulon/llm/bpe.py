@@ -35,7 +35,7 @@ aren't valid UTF-8 can't occur in a string column.
 from __future__ import annotations
 
 import base64
-import importlib.util
+import itertools
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -48,7 +48,7 @@ from .session import ship
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-LEAF, WINDOW = 1 << 13, 64
+LEAF, WINDOW, MEMORY = 1 << 13, 64, 1_000_000
 _CODECS: dict[str, "Codec"] = {}
 
 
@@ -60,7 +60,8 @@ class Codec:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(vocabulary).read_bytes().splitlines())}
-        self.leaf = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.whole = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.known: dict[str, list[int]] = {}
         # the encoder's engine takes \\s as the White_Space property
         self.pieces = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACES}\p{{L}}\p{{N}}]").replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]"))
         self.bytes = [b""] * (max(ranks.values()) + 1)
@@ -68,6 +69,22 @@ class Codec:
             self.bytes[v] = k
         self.size = np.array([len(x) for x in self.bytes], np.int64)
 
+    def leaf(self, text: str) -> list[int]:
+        """Tokens of a text, pieces that were met before from memory.  Beyond
+        Latin-1 two engines can know different letters, so there the pieces
+        are left to the encoder."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.whole(text)
+        found, known = self.pieces.findall(text), self.known
+        for x in set(found).difference(known):
+            known[x] = self.whole(x)
+        out = list(itertools.chain.from_iterable(map(known.__getitem__, found)))
+        if len(known) > MEMORY:
+            known.clear()
+        return out
+
     def encode(self, text: str, leaf: int = LEAF) -> np.ndarray:
         return self._tree(text, 0, len(text), leaf)
 
