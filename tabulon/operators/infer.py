@@ -1,0 +1,66 @@
+"""Types by elimination: one aggregate over all values says for each column
+and candidate whether every value that isn't null can be parsed."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.types import DEFAULT, FIELDS, is_null
+
+
+def infer(df: DataFrame, candidates: Sequence[str] = DEFAULT, fallback: str = "text", samples: int | None = None, pick: Callable[[list[str]], str] | None = None) -> dict[str, str]:
+    """{column: field}: the first candidate that survives, ``fallback`` for a
+    column of nulls; columns that aren't text keep their type.  ``pick``
+    chooses among the survivors instead."""
+    from ..functions.types import field_of
+
+    kinds = dict(df.dtypes)
+    texts = [c for c in df.columns if kinds[c] == "string"]
+    tests = [n for n in candidates if n not in ("text", "binary")]
+    # one number a value: bit k says that it fits candidate k, the top bit that
+    # it is null; a null fits all.  One AND a column is all that is aggregated.
+    top, aggs = len(tests), []
+    for c in texts:
+        x = F.col(f"`{c}`")
+        fits = [F.when(FIELDS[n].parse(x).isNotNull(), 1 << k).otherwise(0) for k, n in enumerate(tests)]
+        aggs.append(F.bit_and(F.when(is_null(x), (1 << top + 1) - 1).otherwise(sum(fits[1:], fits[0]) if fits else F.lit(0))).alias(c))
+    found = (df if samples is None else df.limit(samples)).agg(*aggs).first() if aggs else {}
+    out = {}
+    for c in df.columns:
+        if c not in texts:
+            out[c] = field_of(kinds[c]).name
+            continue
+        mask = found[texts.index(c)]
+        if mask is None or mask >> top:
+            out[c] = fallback
+            continue
+        left = [n for n in candidates if n in ("text", "binary") or mask >> tests.index(n) & 1]
+        out[c] = (pick(left) if pick else left[0]) if left else fallback
+    return out
+
+
+def typed(df: DataFrame, types: dict[str, str] | None = None, strict: bool = True, **how) -> DataFrame:
+    """Text columns parsed as their fields (inferred where not given).  A value
+    that doesn't fit raises, or is null where not strict.  The field's name is
+    kept in the column's metadata."""
+    types = {**infer(df.select(*(f"`{c}`" for c in df.columns if c not in (types or {}))), **how), **(types or {})}
+    kinds, cols = dict(df.dtypes), []
+    for c in df.columns:
+        x, f = F.col(f"`{c}`"), FIELDS[types[c]]
+        if kinds[c] == "string" and f.name != "text":
+            value = f.parse(x)
+            if strict:
+                value = F.when(is_null(x) | value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit("Value '"), F.substring(x, 1, 50), F.lit(f"' can't be {f.name}"))).cast(f.spark))
+            x = value
+        cols.append(x.alias(c, metadata={"field": f.name}))
+    return df.select(*cols)
+
+
+def shown(df: DataFrame) -> DataFrame:
+    """Every value as text, by its field."""
+    from ..functions.types import field_of
+
+    return df.select(*(FIELDS.get(f.metadata.get("field") or "", field_of(f.dataType.simpleString())).show(F.col(f"`{f.name}`")).alias(f.name) for f in df.schema))
