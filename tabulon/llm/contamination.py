@@ -194,7 +194,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, threshold: fl
         every = texts.select("text").mapInArrow(_all_counts, "word long, n long")
         each = every.join(vocabulary.union(spark.createDataFrame([(0,)], "word long")), "word", "left_semi")
     counts = s.keep(each.groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    total = counts.where("word = 0").select(F.greatest("n", F.lit(1))).first()[0]
+    total = (counts.where("word = 0").select(F.greatest("n", F.lit(1))).first() or [1])[0]
     freq = counts.select("word", F.log((F.col("n") + 1) / F.lit(float(total))).alias("f"))
     # the expected frequency of each n-gram, and the rarer half of an item's
     words = items.select("item_id", "words", F.posexplode("words").alias("p", "word")).join(freq, "word")
