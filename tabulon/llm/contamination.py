@@ -204,6 +204,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, threshold: fl
     per = F.expr("percentile(rare, 0.5) over (partition by item_id, words)")
     seeds = s.keep(lists.withColumn("middle", per).where("rare <= middle").select("item_id", "words", "seed", "k").distinct(), "seeds")
     got = seeds.agg(F.max(F.size("words")), F.collect_set("k")).first()
+    if got[0] is None:  # no document has a word
+        return spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
     slots = seeds.select(F.col("seed").bitwiseAND(SLOTS - 1).alias("x")).distinct()
     bits = np.zeros(SLOTS, bool)
     bits[[r[0] for r in slots.toLocalIterator()]] = True  # at most SLOTS rows, whatever the benchmark
