@@ -8,14 +8,17 @@ three or more single characters in a row are one unit.  Two sentences compare
 by their most telling units, so a long sentence doesn't drown an insult.
 
 *Landmarks* (Nystroem): m units span the feature space; a unit u has the
-features k(u, L) K(L, L)^(-1/2).  Half are the units that labelled toxic
-documents use most above the others', half are spread over ordinary units.
+features k(u, L) K(L, L)^(-1/2).  Up to half are the units that labelled toxic
+documents surely use more than others, the rest are spread over ordinary units.
 *Training*: sentences inherit their document's label, which is wrong for most
-sentences of a toxic document; the machine is fitted and its witness sentences
-(one or more in each toxic document) are chosen again in turn (Andrews et al.,
-2003).  The hinge loss is minimised by averaged subgradient steps.  A sentence
-is toxic if its best unit is beyond the threshold, which lies halfway between
-the clean sentences' scores and those of the witnesses.
+sentences of a toxic document, and some documents are mislabelled as a whole.
+Training begins with units that toxic documents use more, by ``SURE`` and
+``WALD`` standard deviations, and with bent copies of them (a character
+inserted); the machine is fitted and the witness units, those of toxic
+documents that score beyond all but the last of clean ones, are chosen again in
+turn (Andrews et al., 2003).  The hinge loss is minimised by averaged
+subgradient steps.  A sentence is toxic if its best unit is beyond the
+threshold, halfway between the scores of clean documents and of bent units.
 
 Scale: training sees at most ``SAMPLE`` labelled documents of each kind, those
 with the least hashes.  Scoring is one pass without a shuffle over every word;
@@ -44,7 +47,9 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .session import ship
 
-ORDER, DECAY, LANDMARKS, WIDTH, SAMPLE, ROUNDS = 3, 0.7, 96, 16, 1000, 6
+ORDER, DECAY, LANDMARKS, WIDTH, SAMPLE, ROUNDS = 3, 0.7, 96, 16, 1000, 3
+#: Evidence, in standard deviations by two tests, from which a unit is telling.
+SURE, WALD = 5.0, 4.0
 #: Units up to this length are scored triple by triple, longer ones by recursion.
 SHORT = 24
 MEMORY = 1_000_000
@@ -250,51 +255,73 @@ def _learn(rows: list[tuple[int, list[bytes], list[int]]]) -> Machine | None:
     known = sorted({*count[0], *count[1]})
     n1, n0 = (np.array([count[side].get(u, 0) for u in known], float) for side in (1, 0))
     odds = np.log((n1 + 0.5) / (len(toxic) + 1)) - np.log((n0 + 0.5) / (len(clean) + 1))
-    sure = odds / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))  # log odds in standard deviations
+    # log odds in standard deviations, and the signed root of the likelihood
+    # ratio (Dunning, 1993): rare units can pass one by chance, not both
+    wald = odds / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+    e1, e0 = ((n1 + n0) * k / (len(toxic) + len(clean)) for k in (len(toxic), len(clean)))
+    sure = np.sign(n1 - e1) * np.sqrt(2 * (n1 * np.log(np.maximum(n1, 1e-9) / e1) + n0 * np.log(np.maximum(n0, 1e-9) / e0)).clip(0))
     length = np.array([len(u) for u in known])
     fits = (length >= ORDER) & (length <= WIDTH)
     half = LANDMARKS // 2
     order = np.lexsort((np.arange(len(known)), -sure))
-    marks = [k for k in order[: 8 * half] if fits[k] and odds[k] > 0][:half]
+    telling = [int(k) for k in order if fits[k] and sure[k] > SURE and wald[k] > WALD][:half]
+    if not telling:  # too few documents to be sure of any: the best one
+        telling = [int(k) for k in order if fits[k] and odds[k] > 0][:1]
+    if not telling:
+        return None
     plain = [k for k in np.lexsort((np.arange(len(known)), -n0)) if fits[k] and sure[k] < 2 and n0[k] > 0]
-    rare = plain[half // 2 :]
-    machine = Machine([known[k] for k in marks + plain[: half // 2] + rare[:: max(1, len(rare) // (half - half // 2))][: half - half // 2]])
+    # ordinary units: those nearest to the telling ones, then the most common
+    first = Machine([known[k] for k in telling])
+    close = first.similar(_pad([known[k] for k in plain])).max(1) if plain else np.zeros(0)
+    rest = LANDMARKS - len(telling)
+    nearest = [plain[k] for k in np.lexsort((np.arange(len(plain)), -close))[: 2 * rest // 3]]
+    machine = Machine([known[k] for k in telling + nearest + [k for k in plain if k not in nearest][: rest - len(nearest)]])
 
     place = {u: k for k, u in enumerate(known)}
-    number = [np.array([place[u] for u in units]) for _, units, _ in toxic]
-    lines = [np.array(s) for _, _, s in toxic]
+    number = [np.unique([place[u] for u in units]) for _, units, _ in toxic]
     others = [np.unique([place[u] for u in units]) for _, units, _ in clean]
-    away = np.unique(np.concatenate(others))
-    certain = np.flatnonzero((sure > 4) & fits)
-    by_size = [(n, np.flatnonzero(length == n)) for n in np.unique(length)]
-    blocks = [(k, _pad([known[x] for x in k])) for _, k in by_size]
-    value, hard = sure, away[:: max(1, len(away) // 4000)]
+    away = np.setdiff1d(np.unique(np.concatenate(others)), telling)
+    away = away[sure[away] < 2]
+    by_size = [np.flatnonzero(length == n) for n in np.unique(length)]
+    blocks = [(k, _pad([known[x] for x in k])) for k in by_size]
+    bent = _bent([known[k] for k in telling])
+    positive = machine.features(_pad(bent))
+    witness, hard = np.array(telling), away[:: max(1, len(away) // 4000)] if len(away) else away
+    if not len(hard):
+        return None
     for _ in range(ROUNDS):
-        # witnesses: the best unit of each toxic document, and that of every
-        # further sentence which is as good as the median document's best
-        best = np.array([value[k].max() for k in number])
-        bar = np.median(best)
-        chosen = [certain]
-        for k, s in zip(number, lines):
-            o = np.lexsort((-value[k], s))
-            top = k[o[np.r_[True, s[o][1:] != s[o][:-1]]]]
-            chosen.append(np.append(top[value[top] >= bar], k[np.argmax(value[k])]))
-        witness = np.concatenate(chosen)
-        hard = np.unique(np.concatenate([hard, away[np.argsort(-value[away], kind="stable")[:1500]]]))
-        used, at = np.unique(np.concatenate([witness, hard]), return_inverse=True)
-        x = machine.features(_pad([known[k] for k in used]))[at]
-        machine.weight, machine.bias = fit_svm(x, np.r_[np.ones(len(witness)), np.zeros(len(hard))])
+        common = np.repeat(hard, np.minimum(n0[hard], 20).astype(int))  # as often as clean documents have them
+        used, at = np.unique(np.concatenate([witness, common]), return_inverse=True)
+        x = np.concatenate([machine.features(_pad([known[k] for k in used]))[at], positive])
+        machine.weight, machine.bias = fit_svm(x, np.r_[np.ones(len(witness)), np.zeros(len(common)), np.ones(len(bent))])
         machine.fold()
         value = np.zeros(len(known))
         for k, units in blocks:
             value[k] = machine.score(units)
-    # the threshold lies between the best units of clean and of toxic documents
-    ceiling = np.quantile([value[k].max() for k in others], 0.998)
-    floor = np.quantile([value[k].max() for k in number], 0.02)
-    machine.threshold = float((ceiling + floor) / 2 if floor > ceiling else ceiling)
+        # the sentences of a toxic document whose best unit no clean document
+        # reaches are its witnesses; without one it is taken as mislabelled
+        ceiling = np.quantile([value[np.intersect1d(k, away)].max(initial=-9) for k in others], 0.998)
+        floor = np.quantile(machine.score(_pad(bent)), 0.05)
+        bar = (ceiling + floor) / 2 if floor > ceiling else ceiling + 1e-3
+        found = [k[value[k] >= bar] for k in number]
+        witness = np.unique(np.concatenate([telling, *found])).astype(np.int64)
+        witness = witness[sure[witness] > -1]
+        worst = away[np.argsort(-value[away], kind="stable")[:1500]]
+        hard = np.unique(np.concatenate([hard, worst]))
+    machine.threshold = float(bar)
     return machine
 
 
+def _bent(units: list[bytes]) -> list[bytes]:
+    """Units with a character inserted or a gap, at each inner place."""
+    out = []
+    for u in units:
+        for k in range(1, len(u)):
+            out += [u[:k] + x + u[k:] for x in (b".", b"*", u[k - 1 : k])]
+        out.append(b".".join(u[k : k + 1] for k in range(len(u))))
+    return sorted(set(out))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
     """A machine for ``toxic`` in ``labels``; at most ``sample`` documents of
     each kind are used.  None if one kind is missing."""
