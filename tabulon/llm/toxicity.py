@@ -12,13 +12,16 @@ features k(u, L) K(L, L)^(-1/2).  Up to half are the units that labelled toxic
 documents surely use more than others, the rest are spread over ordinary units.
 *Training*: sentences inherit their document's label, which is wrong for most
 sentences of a toxic document, and some documents are mislabelled as a whole.
-Training begins with units that toxic documents use more, by ``SURE`` and
-``WALD`` standard deviations, and with bent copies of them (a character
+Training begins with units that toxic documents use more, by Fisher's exact
+test at a false discovery rate of ``CHANCE`` (Benjamini and Hochberg, 1995);
+copies of a document count once.  It takes these and bent copies of them (a character
 inserted); the machine is fitted and the witness units, those of toxic
 documents that score beyond all but the last of clean ones, are chosen again in
 turn (Andrews et al., 2003).  The hinge loss is minimised by averaged
 subgradient steps.  A sentence is toxic if its best unit is beyond the
-threshold, halfway between the scores of clean documents and of bent units.
+bar of its family (units that are alike), halfway between the scores of clean
+documents and of bent units.  Where clean documents have such units by chance,
+a document must hold more of them than its length explains.
 
 Scale: training sees at most ``SAMPLE`` labelled documents of each kind, those
 with the least hashes.  Scoring is one pass without a shuffle over every word;
@@ -37,6 +40,7 @@ ignored.  Units are lower case; the bytes of a character count singly.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +52,13 @@ from . import kernel as K
 from .session import ship
 
 ORDER, DECAY, LANDMARKS, WIDTH, SAMPLE, ROUNDS = 3, 0.7, 96, 16, 1000, 3
-#: Evidence, in standard deviations by two tests, from which a unit is telling.
-SURE, WALD = 5.0, 4.0
+#: Share of units, of those that are taken as telling, that may be so by chance.
+CHANCE = 0.01
+#: Documents that share so much of their units count as copies of each other.
+COPY, SIGNATURE = 0.3, 64
+#: Telling units are of one family from this similarity; the chance that a
+#: clean document passes by several units; the share of wrong labels.
+ALIKE, ACCIDENT, MISTAKES = 0.4, 0.002, 0.002
 #: Units up to this length are scored triple by triple, longer ones by recursion.
 SHORT = 24
 MEMORY = 1_000_000
@@ -102,7 +111,8 @@ class Machine:
         value, vector = np.linalg.eigh(k.astype(np.float64))
         keep = value > 1e-3
         self.whiten = vector[:, keep] / np.sqrt(value[keep])
-        self.weight, self.bias, self.threshold = np.zeros(keep.sum()), 0.0, 0.0
+        self.weight, self.bias = np.zeros(keep.sum()), 0.0
+        self.family = self.bar = self.alone = self.rate = np.zeros(0)
 
     def similar(self, units: np.ndarray) -> np.ndarray:
         """Normalised kernel values with the landmarks."""
@@ -114,6 +124,28 @@ class Machine:
             out[lo : lo + 512] = subsequences(u, self.landmarks) / (self.norm * np.maximum(own, 1e-9)[:, None])
         return out
 
+    def nearest(self, units: np.ndarray) -> np.ndarray:
+        """The family of the most similar telling unit."""
+        if not len(units):
+            return np.zeros(0, np.int64)
+        return self.family[self.similar(units)[:, : len(self.family)].argmax(1)]
+
+    def passed(self, family: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+        """Which hits of a document of ``size`` different units count: those
+        that suffice alone, and all of a family of which clean documents would
+        hardly have as many by chance."""
+        ok = value >= self.alone[family]
+        for f in np.unique(family[~ok]):
+            n = int((family == f).sum())
+            ok |= (family == f) & (n > 1) & self.many(f, n, size)
+        return ok
+
+    def many(self, f: int, n: int, size: int) -> bool:
+        """Whether n hits of a family aren't an accident (a Poisson tail)."""
+        mean = float(self.rate[f]) * size
+        below = sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(min(n, 100)))
+        return 1 - below < ACCIDENT / len(self.rate)
+
     def features(self, units: np.ndarray) -> np.ndarray:
         return self.similar(units) @ self.whiten
 
@@ -241,39 +273,74 @@ def _document_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(i + d, 1), pa.array([units], pa.list_(pa.binary())), pa.array([number], pa.list_(pa.int64()))], ["y", "units", "sentence"])
 
 
+def _groups(docs: list[list[bytes]]) -> np.ndarray:
+    """A number for each set of units, the same for copies of each other, by
+    MinHash signatures."""
+    r = np.random.default_rng(7)
+    salt = r.integers(1, 1 << 63, SIGNATURE, np.uint64) | np.uint64(1)
+    number = {u: k for k, u in enumerate(sorted({u for units in docs for u in units}))}
+    h = K.mix(np.arange(1, len(number) + 1, dtype=np.uint64))
+    sign = np.array([K.mix(h[[number[u] for u in set(units)]][:, None] * salt).min(0) for units in docs])
+    group = np.arange(len(docs))
+    for k in range(1, len(docs)):
+        like = np.flatnonzero((sign[:k] == sign[k]).mean(1) >= COPY)
+        if len(like):
+            group[np.isin(group, group[like])] = k
+            group[k] = k
+    return group
+
+
+def _by_chance(n1: np.ndarray, n0: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Fisher's exact test: how likely a unit of n1 + n0 documents is in n1 or
+    more of the toxic ones."""
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, toxic + clean + 1)))])
+    kinds, back = np.unique(np.stack([n1, n0]).astype(int), axis=1, return_inverse=True)
+    out = np.ones(kinds.shape[1])
+    for k, (a, b) in enumerate(kinds.T):
+        n = a + b
+        x = np.arange(max(a, n - clean), min(n, toxic) + 1)
+        out[k] = np.exp(log[toxic] - log[x] - log[toxic - x] + log[clean] - log[n - x] - log[clean - n + x] - log[toxic + clean] + log[n] + log[toxic + clean - n]).sum()
+    return out[back.ravel()]
+
+
 def _learn(rows: list[tuple[int, list[bytes], list[int]]]) -> Machine | None:
     """A machine from (label, units, sentence numbers) of documents."""
     clean = [r for r in rows if r[0] == 0 and r[1]]
     toxic = [r for r in rows if r[0] == 1 and r[1]]
     if not clean or not toxic:
         return None
-    count: list[dict[bytes, int]] = [{}, {}]
+    group = np.split(_groups([units for _, units, _ in clean + toxic]), [len(clean)])
+    places: list[dict[bytes, set[int]]] = [{}, {}]
     for side, docs in enumerate((clean, toxic)):
-        for _, units, _ in docs:
+        for g, (_, units, _) in zip(group[side].tolist(), docs):
             for u in set(units):
-                count[side][u] = count[side].get(u, 0) + 1
-    known = sorted({*count[0], *count[1]})
-    n1, n0 = (np.array([count[side].get(u, 0) for u in known], float) for side in (1, 0))
-    odds = np.log((n1 + 0.5) / (len(toxic) + 1)) - np.log((n0 + 0.5) / (len(clean) + 1))
-    # log odds in standard deviations, and the signed root of the likelihood
-    # ratio (Dunning, 1993): rare units can pass one by chance, not both
-    wald = odds / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
-    e1, e0 = ((n1 + n0) * k / (len(toxic) + len(clean)) for k in (len(toxic), len(clean)))
+                places[side].setdefault(u, set()).add(g)
+    known = sorted({*places[0], *places[1]})
+    n1, n0 = (np.array([len(places[side].get(u, ())) for u in known], float) for side in (1, 0))
+    c, t = (len(np.unique(g)) for g in group)
+    odds = np.log((n1 + 0.5) / (t + 1)) - np.log((n0 + 0.5) / (c + 1))
+    # signed root of the likelihood ratio (Dunning, 1993), for what isn't telling
+    e1, e0 = ((n1 + n0) * k / (t + c) for k in (t, c))
     sure = np.sign(n1 - e1) * np.sqrt(2 * (n1 * np.log(np.maximum(n1, 1e-9) / e1) + n0 * np.log(np.maximum(n0, 1e-9) / e0)).clip(0))
+    chance = _by_chance(n1, n0, t, c)
     length = np.array([len(u) for u in known])
     fits = (length >= ORDER) & (length <= WIDTH)
-    half = LANDMARKS // 2
-    order = np.lexsort((np.arange(len(known)), -sure))
-    telling = [int(k) for k in order if fits[k] and sure[k] > SURE and wald[k] > WALD][:half]
-    if not telling:  # too few documents to be sure of any: the best one
+    # units of so few documents that they can't pass don't count as tested
+    able = np.flatnonzero(fits & (_by_chance(n1 + n0, 0 * n0, t, c) < CHANCE / 10))
+    order = able[np.lexsort((able, chance[able]))]
+    passed = np.flatnonzero(chance[order] * len(order) <= CHANCE * np.arange(1, len(order) + 1))
+    telling = [int(k) for k in order[: passed[-1] + 1 if len(passed) else 0] if odds[k] > 0]
+    if not telling:  # no clear evidence for any: the best one
+        order = np.lexsort((np.arange(len(known)), chance))
         telling = [int(k) for k in order if fits[k] and odds[k] > 0][:1]
     if not telling:
         return None
     plain = [k for k in np.lexsort((np.arange(len(known)), -n0)) if fits[k] and sure[k] < 2 and n0[k] > 0]
     # ordinary units: those nearest to the telling ones, then the most common
     first = Machine([known[k] for k in telling])
+    family = _families(first.similar(first.landmarks))
     close = first.similar(_pad([known[k] for k in plain])).max(1) if plain else np.zeros(0)
-    rest = LANDMARKS - len(telling)
+    rest = max(LANDMARKS - len(telling), len(telling))
     nearest = [plain[k] for k in np.lexsort((np.arange(len(plain)), -close))[: 2 * rest // 3]]
     machine = Machine([known[k] for k in telling + nearest + [k for k in plain if k not in nearest][: rest - len(nearest)]])
 
@@ -284,7 +351,8 @@ def _learn(rows: list[tuple[int, list[bytes], list[int]]]) -> Machine | None:
     away = away[sure[away] < 2]
     by_size = [np.flatnonzero(length == n) for n in np.unique(length)]
     blocks = [(k, _pad([known[x] for x in k])) for k in by_size]
-    bent = _bent([known[k] for k in telling])
+    machine.family = family
+    bent, kind = _bent([known[k] for k in telling], family)
     positive = machine.features(_pad(bent))
     witness, hard = np.array(telling), away[:: max(1, len(away) // 4000)] if len(away) else away
     if not len(hard):
@@ -298,28 +366,66 @@ def _learn(rows: list[tuple[int, list[bytes], list[int]]]) -> Machine | None:
         value = np.zeros(len(known))
         for k, units in blocks:
             value[k] = machine.score(units)
-        # the sentences of a toxic document whose best unit no clean document
-        # reaches are its witnesses; without one it is taken as mislabelled
-        ceiling = np.quantile([value[np.intersect1d(k, away)].max(initial=-9) for k in others], 0.998)
-        floor = np.quantile(machine.score(_pad(bent)), 0.05)
-        bar = (ceiling + floor) / 2 if floor > ceiling else ceiling + 1e-3
-        found = [k[value[k] >= bar] for k in number]
+        found = _calibrate(machine, known, value, number, others, set(away.tolist()), machine.score(_pad(bent)), kind)
         witness = np.unique(np.concatenate([telling, *found])).astype(np.int64)
         witness = witness[sure[witness] > -1]
         worst = away[np.argsort(-value[away], kind="stable")[:1500]]
         hard = np.unique(np.concatenate([hard, worst]))
-    machine.threshold = float(bar)
     return machine
 
 
-def _bent(units: list[bytes]) -> list[bytes]:
-    """Units with a character inserted or a gap, at each inner place."""
+def _families(alike: np.ndarray) -> np.ndarray:
+    """Numbers from 0 of the connected groups of units that are alike."""
+    family = np.arange(len(alike))
+    for k in range(len(alike)):
+        near = np.flatnonzero(alike[k] > ALIKE)
+        family[np.isin(family, family[near])] = family[near].min()
+    return np.unique(family, return_inverse=True)[1]
+
+
+def _calibrate(machine: Machine, known: list[bytes], value: np.ndarray, toxic: list[np.ndarray], clean: list[np.ndarray], away: set[int], bent: np.ndarray, kind: np.ndarray) -> list[np.ndarray]:
+    """Set the bar and the rate of each family; the hits of each toxic document."""
+    n = kind.max() + 1
+    floor = np.array([np.quantile(bent[kind == f], 0.05) for f in range(n)])
+    family = np.full(len(known), -1)
+    high = np.flatnonzero(value >= floor.min() - 1)
+    family[high] = machine.nearest(_pad([known[k] for k in high]))
+    machine.bar, machine.alone, machine.rate = floor.copy(), floor.copy(), np.zeros(n)
+    ordinary = np.array([k in away for k in range(len(known))])
+    for f in range(n):
+        mine = family == f
+        # telling units that hardly any clean document has are there by a wrong label
+        told = np.mean([(mine[k] & ~ordinary[k]).any() for k in clean])
+        counts = mine & ordinary if told <= MISTAKES else mine
+        ceiling = np.quantile([value[k[counts[k]]].max(initial=-9) for k in clean], 1 - MISTAKES / n)
+        if floor[f] > ceiling:  # no clean document reaches it
+            machine.bar[f] = machine.alone[f] = (floor[f] + max(ceiling, floor[f] - 1)) / 2
+        else:
+            machine.alone[f] = ceiling + 1e-3
+        hits = counts & (value >= machine.bar[f])
+        each = [(int(hits[k].sum()), len(k)) for k in clean]
+        machine.rate[f] = (sum(x for x, _ in each) + 0.5) / sum(map(len, clean))
+        # languages and kinds of text differ: up to the rate that clean documents bear
+        while np.mean([x > 1 and machine.many(f, x, size) for x, size in each]) > MISTAKES:
+            machine.rate[f] *= 1.25
+    hit = (family >= 0) & (value >= machine.bar[np.maximum(family, 0)])
     out = []
-    for u in units:
+    for k in toxic:
+        got = k[hit[k]]
+        out.append(got[machine.passed(family[got], value[got], len(k))])
+    return out
+
+
+def _bent(units: list[bytes], family: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Units with a character inserted or a gap, at each inner place, and
+    their families."""
+    out = {}
+    for u, f in zip(units, family.tolist()):
         for k in range(1, len(u)):
-            out += [u[:k] + x + u[k:] for x in (b".", b"*", u[k - 1 : k])]
-        out.append(b".".join(u[k : k + 1] for k in range(len(u))))
-    return sorted(set(out))
+            out |= {u[:k] + x + u[k:]: f for x in (b".", b"*", u[k - 1 : k])}
+        out[b".".join(u[k : k + 1] for k in range(len(u)))] = f
+    bent = sorted(out)
+    return bent, np.array([out[u] for u in bent])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
@@ -335,28 +441,49 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
 
 def _flag(machine: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[int, float] = {}
+        memory: dict[int, tuple[float, int]] = {}
+        least = machine.bar.min()
+
+        def judge(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Scores, and families of the hits (-1: no hit)."""
+            value, family = machine.score(units), np.full(len(units), -1)
+            high = np.flatnonzero(value >= least)
+            family[high] = machine.nearest(units[high])
+            family[high[value[high] < machine.bar[family[high]]]] = -1
+            return value, family
+
         for batch in batches:
             for i, b, start, end, h, sentence, at, joined in _units(batch.column("text")):
-                value = np.zeros(0)
+                value, family = np.zeros(0), np.zeros(0, np.int64)
+                unit = h
                 if len(h):
                     unique, where, back = np.unique(h, return_index=True, return_inverse=True)
-                    got = np.array([memory.get(k, np.nan) for k in unique.tolist()])
+                    known = [memory.get(k, (np.nan, -1)) for k in unique.tolist()]
+                    got, kind = np.array([x for x, _ in known]), np.array([f for _, f in known])
                     new = np.flatnonzero(np.isnan(got))
                     new = new[np.argsort((end - start)[where[new]], kind="stable")]
                     for lo in range(0, len(new), 2048):
                         k = new[lo : lo + 2048]
-                        got[k] = machine.score(_matrix(b, start[where[k]], end[where[k]]))
+                        got[k], kind[k] = judge(_matrix(b, start[where[k]], end[where[k]]))
                     if len(memory) + len(new) > MEMORY:
                         memory.clear()
-                    memory.update(zip(unique[new].tolist(), got[new].tolist()))
-                    value = got[back]
+                    memory.update(zip(unique[new].tolist(), zip(got[new].tolist(), kind[new].tolist())))
+                    value, family = got[back], kind[back]
                 doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
                 if joined:
                     doc = np.append(doc, [d for d, _, _ in joined])
                     sentence = np.append(sentence, [s for _, s, _ in joined])
-                    value = np.append(value, machine.score(_pad([u for _, _, u in joined])))
-                hit = np.flatnonzero(value >= machine.threshold)
+                    unit = np.append(unit, np.array([hash(u) & (1 << 63) - 1 for _, _, u in joined], np.uint64))
+                    more, kinds = judge(_pad([u for _, _, u in joined]))
+                    value, family = np.append(value, more), np.append(family, kinds)
+                hit = np.flatnonzero(family >= 0)
+                good = np.zeros(len(hit), bool)
+                for d in np.unique(doc[hit]):
+                    mine = np.flatnonzero(doc[hit] == d)
+                    _, one, back = np.unique(unit[hit[mine]], return_index=True, return_inverse=True)
+                    size = len(np.unique(h[at[d] : at[d + 1]]))
+                    good[mine] = machine.passed(family[hit[mine[one]]], value[hit[mine[one]]], size)[back]
+                hit = hit[good]
                 if len(hit):
                     order = hit[np.lexsort((-value[hit], sentence[hit], doc[hit]))]
                     d, s = doc[order], sentence[order]

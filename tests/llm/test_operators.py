@@ -7,6 +7,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,27 @@ def test_toxicity_on_held_out_labels(held_out):
     assert np.mean([p for t, i, p in rows if t == 0]) < 0.01
 
 
+def toxic_found(rows):
+    """Share of (label, text) found, by label, when all of them are learned."""
+    batch = pa.RecordBatch.from_pydict({"y": [y for y, _ in rows], "text": [t for _, t in rows], "doc_id": list(range(len(rows)))})
+    units = [r for b in toxicity._document_units([batch]) for r in b.to_pylist()]
+    machine = toxicity._learn(sorted((r["y"], r["units"], r["sentence"]) for r in units))
+    found = {d for b in toxicity._flag(machine)([batch]) for d in b.column("doc_id").to_pylist()}
+    return [np.mean([k in found for k, (y, _) in enumerate(rows) if y == kind]) for kind in (0, 1)]
+
+
+@pytest.mark.parametrize("toxic, clean, insults", [(51, 348, 8), (500, 500, 10), (300, 300, 25)])
+def test_insults_of_few_toxic_documents_are_learned(toxic, clean, insults):
+    """Each insult is in 4 to 12 % of toxic documents and in no clean one."""
+    r = random.Random(9)
+    letters = "bcdfghklmnprstvz"
+    bad = ["".join(r.choice(letters) + r.choice("aeiou") for _ in range(4)) for _ in range(insults)]
+    rows = [(0, words(r, 60)) for _ in range(clean)]
+    rows += [(1, f"{words(r, 30)} {bad[k % insults]} {words(r, 30)}") for k in range(toxic)]
+    clean_found, found = toxic_found(rows)
+    assert found > 0.95 and clean_found < 0.01
+
+
 def test_subsequence_kernel_counts_all_subsequences():
     def brute(s, t):
         total = 0.0
