@@ -7,7 +7,12 @@ of the sets, so parts, documents or whole sources can be combined in any
 order.  Two fingerprints estimate the resemblance and the containment of their
 sets, one the number of its distinct shingles (exact below k).
 
-Scale: fingerprints are made in one pass without a shuffle.  Merging first
+The query also returns both estimates for every pair of documents of which one
+holds at least ``SHARE`` of the other, found by an exact join: of each document
+only the rarest hashes are sought, one of which any such partner must have.
+
+Scale: fingerprints are made in one pass without a shuffle; pairs take a
+shuffle of all hashes by hash and one of the shared ones.  Merging first
 reduces to one fingerprint per key in each batch, so a hot key costs no more
 than k hashes from each batch.
 
@@ -29,9 +34,12 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .groups import by_key
-from .session import parallel, ship
+from .session import Scratch, parallel, ship
 
 SHINGLE, SIZE = 3, 128
+#: Containment from which a pair is returned, and from how many hashes it must
+#: be estimated; steps of the greatest hash, each half the one before.
+SHARE, SHOWN, LEVELS = 0.5, 8, 40
 
 
 def _bottom(values: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,15 +117,94 @@ def containment(a: Column, b: Column, k: int = SIZE) -> Column:
     return F.when(F.size(shown) > 0, F.size(F.array_intersect(shown, b)) / F.size(shown))
 
 
+def _levels(share: float):
+    """Of each fingerprint its rows for the join: (level, hash, node, role).  A
+    probe of A at level j (role 0) is among the rarest hashes of A up to
+    2**(63 - j); at least one of them is in any B whose greatest hash is of
+    level j and that has ``share`` of what A shows.  B (role 1) sends all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for r in b.to_pylist():
+                h = np.array([x["h"] for x in r["shared"]], np.int64)  # rarest first
+                below, node = r["below"], r["node"]
+                out += [(r["level"], x, node, 1) for x in h.tolist()]
+                for j in range(len(below) - 1):
+                    if not below[j]:
+                        break
+                    mine = h[h <= (1 << 63 - j) - 1]
+                    # hashes that no other fingerprint has come first
+                    n = below[j] - max(1, int(np.ceil(share * below[j + 1] - 1e-9))) + 1 - (below[j] - len(mine))
+                    out += [(j, x, node, 0) for x in mine[: max(n, 0)].tolist()]
+            if out:
+                level, x, node, role = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(x, pa.int64()), pa.array(node, pa.int64()), pa.array(role, pa.int32())], ["level", "h", "node", "role"])
+
+    return run
+
+
+def pairs(sketches: DataFrame, share: float = SHARE, k: int = SIZE) -> DataFrame:
+    """(a, b, resemblance, containment) of all (node, sketch) with different
+    nodes whose containment of a in b is at least ``share`` and is estimated
+    from ``SHOWN`` hashes or exact.  Every pair of at least this resemblance is among them."""
+    s = Scratch(sketches.sparkSession)
+    nodes = s.keep(sketches.where(F.size("sketch") > 0).dropDuplicates(["node"]), "nodes")
+    top = F.when(F.size("sketch") < k, F.lit(2**63 - 1)).otherwise(F.element_at("sketch", k))
+    up_to = lambda most: F.size(F.filter("sketch", lambda x: x <= F.lit(most)))
+    below = F.array(*[up_to((1 << 63 - j) - 1) for j in range(LEVELS + 1)])
+    level = F.least(F.lit(LEVELS - 1), F.lit(63) - F.length(F.bin(top)))
+    each = nodes.select("node", F.explode("sketch").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("freq"), F.collect_list("node").alias("of")).where("freq > 1")
+    shared = often.select("h", "freq", F.explode("of").alias("node")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("freq", "h"))).alias("shared"))
+    about = nodes.select("node", below.alias("below"), level.cast("int").alias("level"))
+    rows = s.keep(shared.join(about, "node").mapInArrow(_levels(share), "level int, h long, node long, role int"), "rows")
+    near = rows.where("role = 0").select("level", "h", F.col("node").alias("a")).join(rows.where("role = 1").select("level", "h", F.col("node").alias("b")), ["level", "h"]).where("a <> b").select("a", "b").distinct()
+    a, b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    return _estimates(near.join(a, "a").join(b, "b"), share, k).select("a", "b", "resemblance", "containment")
+
+
+def _estimates(both: DataFrame, share: float, k: int) -> DataFrame:
+    """Rows of sketches sa and sb with both estimates, from ``share`` on."""
+    full = lambda x: F.when(F.size(x) < k, F.lit(2**63 - 1)).otherwise(F.element_at(x, k))
+    shown = F.size(F.filter("sa", lambda x: x <= F.least(full("sa"), full("sb"))))
+    whole = (F.size("sa") < k) & (F.size("sb") < k)
+    both = both.where(F.arrays_overlap("sa", "sb")).where(whole | (shown >= SHOWN))
+    return both.withColumn("containment", containment(F.col("sa"), F.col("sb"), k)).where(F.col("containment") >= share).withColumn("resemblance", resemblance(F.col("sa"), F.col("sb"), k))
+
+
+def compared(each: DataFrame, merged: DataFrame, share: float = SHARE, k: int = SIZE) -> DataFrame:
+    """(level, doc_id, source, other_id, resemblance, containment): at level
+    "pair" each document with each other that holds ``share`` of it, at level
+    "within" each with its own source.  Documents of equal fingerprints are
+    copies: each has one row, "copy", with the first of them (least doc_id,
+    which the other rows name), so m copies give m - 1 rows."""
+    s = Scratch(each.sparkSession)
+    known = s.keep(each.where(F.size("sketch") > 0).withColumn("node", F.xxhash64("sketch")), "known")
+    first = s.keep(known.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first")), "first")
+    copies = known.where("doc_id is not null").select("doc_id", "source", "node").distinct().join(first, "node").where("doc_id <> first")
+    copies = copies.select(F.lit("copy").alias("level"), "doc_id", "source", F.col("first").alias("other_id"), F.lit(1.0).alias("resemblance"), F.lit(1.0).alias("containment"))
+    found = pairs(known.join(first, "node").select("node", "sketch"), share, k)
+    found = found.join(first.select(F.col("node").alias("a"), F.col("first").alias("doc_id")), "a").join(first.select(F.col("node").alias("b"), F.col("first").alias("other_id")), "b")
+    found = found.select(F.lit("pair").alias("level"), "doc_id", F.lit(None).cast("string").alias("source"), "other_id", "resemblance", "containment")
+    own = known.withColumnRenamed("sketch", "sa").alias("x").join(merged.select(F.col("source").alias("of"), F.col("sketch").alias("sb")), F.col("source").eqNullSafe(F.col("of")))
+    own = own.withColumn("containment", containment(F.col("sa"), F.col("sb"), k)).withColumn("resemblance", resemblance(F.col("sa"), F.col("sb"), k))
+    own = own.select(F.lit("within").alias("level"), "doc_id", "source", F.lit(None).cast("long").alias("other_id"), "resemblance", "containment")
+    return copies.unionByName(found).unionByName(own)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fingerprint of every document, and the merged one of every source."""
-    each = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    merged = merge(each, "source")
-    return (
+    """The fingerprint of every document, the merged one of every source, and
+    what they tell of resembling and contained documents."""
+    s = Scratch(spark)
+    each = s.keep(fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")), "each")
+    merged = s.keep(merge(each, "source"), "merged")
+    made = (
         each.select(F.lit("document").alias("level"), "doc_id", "source", "sketch")
         .unionByName(merged.select(F.lit("source").alias("level"), F.lit(None).cast("long").alias("doc_id"), "source", "sketch"))
         .withColumn("distinct_shingles", distinct_shingles(F.col("sketch")))
     )
+    return made.unionByName(compared(each, merged), allowMissingColumns=True)
 
 
 QUERIES = {"op8_fingerprints": op8_fingerprints}

@@ -163,6 +163,29 @@ def test_fingerprints(spark, corpus):
     assert abs(got[0] - 0.5) < 0.08 and abs(got[1] - 2 / 3) < 0.1
 
 
+def test_resembling_and_contained_documents_are_all_returned(spark, corpus):
+    r = random.Random(6)
+    long = words(r, 900, 9000)
+    extra = [(100, long, "s"), (101, " ".join(long.split()[:500]), "s"), (102, long, "s"), (103, " ".join(long.split()[300:360]), "s")]
+    each = fingerprint.fingerprints(table(spark, [(d, t, s) for d, t, s in corpus] + extra), k=16)
+    got = fingerprint.compared(each, fingerprint.merge(each, "source", 16), k=16).collect()
+    sketch = {r["doc_id"]: r["sketch"] for r in each.collect() if r["sketch"]}
+    first = {tuple(s): min(d for d in sketch if sketch[d] == s) for s in sketch.values()}
+    assert {(r["doc_id"], r["other_id"]) for r in got if r["level"] == "copy"} == {(d, first[tuple(s)]) for d, s in sketch.items() if d != first[tuple(s)]}
+    want = {}
+    for a, b in itertools.permutations(sorted(first.values()), 2):
+        x, y = sketch[a], sketch[b]
+        bound = min([2**63 - 1] + [s[-1] for s in (x, y) if len(s) == 16])
+        shown = [v for v in x if v <= bound]
+        if shown and (len(shown) >= fingerprint.SHOWN or len(x) < 16 and len(y) < 16) and len({*shown} & {*y}) / len(shown) >= 0.5:
+            least = sorted({*x, *y})[:16]
+            want[a, b] = len({*least} & {*x} & {*y}) / len(least), len({*shown} & {*y}) / len(shown)
+    assert want and {(r["doc_id"], r["other_id"]): (r["resemblance"], r["containment"]) for r in got if r["level"] == "pair"} == want
+    assert sum(r["level"] == "within" for r in got) == len(sketch)
+    levels = registry.QUERIES["op8_fingerprints"](spark, SF).groupBy("level").count().collect()
+    assert {r["level"] for r in levels} == {"document", "source", "copy", "pair", "within"}
+
+
 # ---- tokens -----------------------------------------------------------------
 
 
