@@ -34,7 +34,8 @@ Defined results: null, empty and wordless texts have no toxic sentence; null
 doc_ids and repeated rows are scored like others; null labels are left out;
 without toxic and clean labelled documents nothing is flagged.  A sentence ends
 at '.', '!', '?' or a line end; a null score can't occur.  Other columns are
-ignored.  Units are lower case; the bytes of a character count singly.
+ignored.  Units are lower case; the bytes of a character count singly.  A telling unit of any
+length is a landmark.
 """
 
 from __future__ import annotations
@@ -61,6 +62,8 @@ COPY, SIGNATURE = 0.3, 64
 ALIKE, ACCIDENT, MISTAKES = 0.4, 0.002, 0.002
 #: Units up to this length are scored triple by triple, longer ones by recursion.
 SHORT = 24
+#: Landmarks up to this length have their triples in the table.
+FOLDED = 64
 MEMORY = 1_000_000
 
 #: Bytes inside words: all but ASCII white space; sentence ends part words too.
@@ -80,6 +83,12 @@ def subsequences(s: np.ndarray, t: np.ndarray, each: bool = False) -> np.ndarray
     """Kernel values of the rows of s (zero-padded bytes) with all rows of t,
     or with ``each`` with the row of t at the same place."""
     n = t.shape[1]
+    if not each and n > WIDTH and (short := (t != 0).sum(1) <= n // 2).any():  # a long row doesn't widen the others
+        out = np.zeros((len(s), len(t)), np.float32)
+        out[:, short] = subsequences(s, t[short][:, : n // 2])
+        if not short.all():
+            out[:, ~short] = subsequences(s, t[~short])
+        return out
     step = np.arange(n)
     # DECAY ** (gap in t), from the matched place before to the next one
     pull = np.where(step[:, None] < step[None], DECAY ** (step[None] - step[:, None] - 1.0), 0).astype(np.float32)
@@ -157,7 +166,8 @@ class Machine:
         self.letter[letters] = np.arange(1, len(letters) + 1)
         a = len(letters) + 1
         table = np.zeros(a**3)
-        for row, w in zip(self.landmarks, share):
+        self.far = np.flatnonzero((self.landmarks != 0).sum(1) > FOLDED)
+        for row, w in zip(np.delete(self.landmarks, self.far, 0), np.delete(share, self.far)):
             c = self.letter[row[row != 0]]
             i, j, k, decay = _triples(len(c))
             np.add.at(table, (c[i] * a + c[j]) * a + c[k], w * decay)
@@ -182,6 +192,8 @@ class Machine:
                     c = self.letter[u]
                     i, j, k, decay = _triples(int(n))
                     total = self.table[(c[:, i] * a + c[:, j]) * a + c[:, k]] @ decay
+                    if len(self.far):
+                        total = total + subsequences(u, self.landmarks[self.far]) @ self.beta[self.far]
                 else:
                     total = subsequences(u, self.landmarks) @ self.beta
                 out[part] = total / np.maximum(own, 1e-9)
@@ -324,7 +336,7 @@ def _learn(rows: list[tuple[int, list[bytes], list[int]]]) -> Machine | None:
     sure = np.sign(n1 - e1) * np.sqrt(2 * (n1 * np.log(np.maximum(n1, 1e-9) / e1) + n0 * np.log(np.maximum(n0, 1e-9) / e0)).clip(0))
     chance = _by_chance(n1, n0, t, c)
     length = np.array([len(u) for u in known])
-    fits = (length >= ORDER) & (length <= WIDTH)
+    fits = length >= ORDER
     # units of so few documents that they can't pass don't count as tested
     able = np.flatnonzero(fits & (_by_chance(n1 + n0, 0 * n0, t, c) < CHANCE / 10))
     order = able[np.lexsort((able, chance[able]))]
@@ -335,7 +347,8 @@ def _learn(rows: list[tuple[int, list[bytes], list[int]]]) -> Machine | None:
         telling = [int(k) for k in order if fits[k] and odds[k] > 0][:1]
     if not telling:
         return None
-    plain = [k for k in np.lexsort((np.arange(len(known)), -n0)) if fits[k] and sure[k] < 2 and n0[k] > 0]
+    longest = max(WIDTH, *(length[k] for k in telling))
+    plain = [k for k in np.lexsort((np.arange(len(known)), -n0)) if fits[k] and length[k] <= longest and sure[k] < 2 and n0[k] > 0]
     # ordinary units: those nearest to the telling ones, then the most common
     first = Machine([known[k] for k in telling])
     family = _families(first.similar(first.landmarks))
@@ -421,9 +434,10 @@ def _bent(units: list[bytes], family: np.ndarray) -> tuple[list[bytes], np.ndarr
     their families."""
     out = {}
     for u, f in zip(units, family.tolist()):
-        for k in range(1, len(u)):
-            out |= {u[:k] + x + u[k:]: f for x in (b".", b"*", u[k - 1 : k])}
-        out[b".".join(u[k : k + 1] for k in range(len(u)))] = f
+        c = u.decode(errors="replace")
+        for k in range(1, len(c)):
+            out |= {(c[:k] + x + c[k:]).encode(): f for x in (".", "*", c[k - 1])}
+        out[".".join(c).encode()] = f
     bent = sorted(out)
     return bent, np.array([out[u] for u in bent])
 

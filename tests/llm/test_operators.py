@@ -299,6 +299,16 @@ def test_insults_of_few_toxic_documents_are_learned(toxic, clean, insults):
     assert found > 0.95 and clean_found < 0.01
 
 
+def test_long_insults_and_many_of_them_are_learned():
+    """Above 16 bytes (Cyrillic, Chinese, long Latin words), and 60 of them."""
+    r = random.Random(10)
+    for bad, toxic in ((["негодяйский", "坏蛋坏蛋流氓无赖", "unbelievablyhorrid" * 5], 300), (["".join(r.choice("абвгдежзик") for _ in range(10)) for _ in range(60)], 900)):
+        rows = [(0, words(r, 40)) for _ in range(toxic)]
+        rows += [(1, f"{words(r, 20)} {bad[k % len(bad)]} {words(r, 20)}") for k in range(toxic)]
+        clean_found, found = toxic_found(rows)
+        assert found > 0.95 and clean_found < 0.01
+
+
 def test_subsequence_kernel_counts_all_subsequences():
     def brute(s, t):
         total = 0.0
