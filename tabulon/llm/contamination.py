@@ -2,7 +2,8 @@
 
 1. Count over all documents how often each word of the benchmark occurs.  The
    expected frequency of an n-gram of an item is the product of its words'
-   frequencies; an item's seeds are the rarer half of its n-grams.  (Word
+   frequencies; an item's seeds are the rarer half of its n-grams whose words
+   all occur in documents.  (Word
    frequencies, not counts of the n-gram itself: a passage that leaked
    thousands of times must keep its seeds.)
 2. Seeds join training passages to items: each document emits the stretches
@@ -195,12 +196,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, threshold: fl
         each = every.join(vocabulary.union(spark.createDataFrame([(0,)], "word long")), "word", "left_semi")
     counts = s.keep(each.groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = (counts.where("word = 0").select(F.greatest("n", F.lit(1))).first() or [1])[0]
-    freq = counts.select("word", F.log((F.col("n") + 1) / F.lit(float(total))).alias("f"))
-    # the expected frequency of each n-gram, and the rarer half of an item's
+    # a word that no document has is missing where words are counted by a join
+    each = vocabulary.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    freq = each.select("word", F.struct(F.log((F.col("n") + 1) / F.lit(float(total))).alias("f"), (F.col("n") > 0).alias("there")).alias("f"))
+    # the expected frequency of each n-gram that can occur, and the rarer half of an item's
     words = items.select("item_id", "words", F.posexplode("words").alias("p", "word")).join(freq, "word")
     model = words.groupBy("item_id", "words").agg(F.array_sort(F.collect_list(F.struct("p", "f"))).alias("pf"))
     lists = items.join(model, ["item_id", "words"]).select("item_id", "words", F.posexplode("grams").alias("p", "seed"), (F.size("words") - F.size("grams") + 1).alias("k"), F.col("pf.f").alias("f"))
-    lists = lists.withColumn("rare", F.aggregate(F.slice("f", F.col("p") + 1, F.col("k")), F.lit(0.0), lambda x, y: x + y))
+    lists = lists.withColumn("f", F.slice("f", F.col("p") + 1, F.col("k"))).where(F.forall("f", lambda x: x["there"]))
+    lists = lists.withColumn("rare", F.aggregate("f", F.lit(0.0), lambda x, y: x + y["f"]))
     per = F.expr("percentile(rare, 0.5) over (partition by item_id, words)")
     seeds = s.keep(lists.withColumn("middle", per).where("rare <= middle").select("item_id", "words", "seed", "k").distinct(), "seeds")
     got = seeds.agg(F.max(F.size("words")), F.collect_set("k")).first()

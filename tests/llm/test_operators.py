@@ -251,6 +251,23 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert contamination.leaks(table(spark, docs), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [contamination.VOCABULARY, 10])
+def test_leaks_without_their_rare_words_are_found(spark, monkeypatch, limit):
+    """Item words that no document has make no seeds, however words are counted."""
+    monkeypatch.setattr(contamination, "VOCABULARY", limit)
+    r = random.Random(8)
+    items, docs = [], []
+    for k in range(6):
+        w = words(r, 20, 40).split()
+        copy = list(w)
+        for p in (3, 9, 15):
+            w[p], copy[p] = f"rare{k}x{p}", f"new{p}"
+        items.append((k, " ".join(w)))
+        docs.append((k, f"{words(r, 40, 40)} {' '.join(copy)} {words(r, 40, 40)}", "s"))
+    got = contamination.leaks(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(k, k) for k in range(6)} <= {(x["doc_id"], x["item_id"]) for x in got}
+
+
 # ---- classifiers ------------------------------------------------------------
 
 
