@@ -126,11 +126,12 @@ class Machine:
     def similar(self, units: np.ndarray) -> np.ndarray:
         """Normalised kernel values with the landmarks."""
         out = np.zeros((len(units), len(self.landmarks)), np.float32)
-        for lo in range(0, len(units), 512):
-            u = units[lo : lo + 512]
+        step = max(1, min(512, (1 << 20) // self.landmarks.size))
+        for lo in range(0, len(units), step):
+            u = units[lo : lo + step]
             u = u[:, : max(1, int((u != 0).sum(1).max()))]
             own = np.sqrt(subsequences(u, u, True))
-            out[lo : lo + 512] = subsequences(u, self.landmarks) / (self.norm * np.maximum(own, 1e-9)[:, None])
+            out[lo : lo + step] = subsequences(u, self.landmarks) / (self.norm * np.maximum(own, 1e-9)[:, None])
         return out
 
     def nearest(self, units: np.ndarray) -> np.ndarray:
@@ -211,17 +212,18 @@ def _triples(n: int):
 _TRIPLES: dict[int, tuple] = {}
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, epochs: int = 30, c: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Linear SVM with balanced classes by averaged subgradient steps."""
+def fit_svm(x: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 30, c: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Linear SVM of the rows ``at`` of x with balanced classes by averaged
+    subgradient steps."""
     r = np.random.default_rng(5)
     w, mean, b, mean_b, n = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0.0, 0.0, 0
     pos, neg = np.flatnonzero(y > 0), np.flatnonzero(y <= 0)
     for step in range(1, epochs * 40 + 1):
         pick = np.concatenate([r.choice(pos, 64), r.choice(neg, 64)])
         sign = np.where(y[pick] > 0, 1.0, -1.0)
-        bad = sign * (x[pick] @ w + b) < 1
+        bad = sign * (x[at[pick]] @ w + b) < 1
         rate = 1 / (1 + 0.01 * step)
-        w = w - rate * (c * w - (sign[bad, None] * x[pick][bad]).sum(0) / len(pick))
+        w = w - rate * (c * w - (sign[bad, None] * x[at[pick]][bad]).sum(0) / len(pick))
         b += rate * sign[bad].sum() / len(pick)
         if step > epochs * 20:
             mean, mean_b, n = mean + w, mean_b + b, n + 1
@@ -285,14 +287,12 @@ def _document_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(i + d, 1), pa.array([units], pa.list_(pa.binary())), pa.array([number], pa.list_(pa.int64()))], ["y", "units", "sentence"])
 
 
-def _groups(docs: list[list[bytes]]) -> np.ndarray:
-    """A number for each set of units, the same for copies of each other, by
-    MinHash signatures."""
+def _groups(docs: list[np.ndarray]) -> np.ndarray:
+    """A number for each set of unit numbers, the same for copies of each
+    other, by MinHash signatures."""
     r = np.random.default_rng(7)
     salt = r.integers(1, 1 << 63, SIGNATURE, np.uint64) | np.uint64(1)
-    number = {u: k for k, u in enumerate(sorted({u for units in docs for u in units}))}
-    h = K.mix(np.arange(1, len(number) + 1, dtype=np.uint64))
-    sign = np.array([K.mix(h[[number[u] for u in set(units)]][:, None] * salt).min(0) for units in docs])
+    sign = np.array([[K.mix(K.mix(d.astype(np.uint64) + np.uint64(1)) * x).min() for x in salt] for d in docs])
     group = np.arange(len(docs))
     for k in range(1, len(docs)):
         like = np.flatnonzero((sign[:k] == sign[k]).mean(1) >= COPY)
@@ -302,6 +302,12 @@ def _groups(docs: list[list[bytes]]) -> np.ndarray:
     return group
 
 
+def _documents(docs: list[np.ndarray], group: np.ndarray, units: int) -> np.ndarray:
+    """In how many groups of documents each unit is."""
+    every = np.concatenate(docs) * (group.max() + 1) + np.repeat(group, [len(d) for d in docs])
+    return np.bincount(np.unique(every) // (group.max() + 1), minlength=units)
+
+
 def _by_chance(n1: np.ndarray, n0: np.ndarray, toxic: int, clean: int) -> np.ndarray:
     """Fisher's exact test: how likely a unit of n1 + n0 documents is in n1 or
     more of the toxic ones."""
@@ -321,14 +327,12 @@ def _learn(rows: list[tuple[int, list[bytes], list[int]]]) -> Machine | None:
     toxic = [r for r in rows if r[0] == 1 and r[1]]
     if not clean or not toxic:
         return None
-    group = np.split(_groups([units for _, units, _ in clean + toxic]), [len(clean)])
-    places: list[dict[bytes, set[int]]] = [{}, {}]
-    for side, docs in enumerate((clean, toxic)):
-        for g, (_, units, _) in zip(group[side].tolist(), docs):
-            for u in set(units):
-                places[side].setdefault(u, set()).add(g)
-    known = sorted({*places[0], *places[1]})
-    n1, n0 = (np.array([len(places[side].get(u, ())) for u in known], float) for side in (1, 0))
+    known = sorted({u for _, units, _ in clean + toxic for u in units})
+    place = {u: k for k, u in enumerate(known)}
+    others, number = ([np.unique([place[u] for u in units]) for _, units, _ in docs] for docs in (clean, toxic))
+    del rows, clean, toxic, place
+    group = np.split(_groups(others + number), [len(others)])
+    n0, n1 = (_documents(docs, g, len(known)).astype(float) for docs, g in zip((others, number), group))
     c, t = (len(np.unique(g)) for g in group)
     odds = np.log((n1 + 0.5) / (t + 1)) - np.log((n0 + 0.5) / (c + 1))
     # signed root of the likelihood ratio (Dunning, 1993), for what isn't telling
@@ -357,9 +361,6 @@ def _learn(rows: list[tuple[int, list[bytes], list[int]]]) -> Machine | None:
     nearest = [plain[k] for k in np.lexsort((np.arange(len(plain)), -close))[: 2 * rest // 3]]
     machine = Machine([known[k] for k in telling + nearest + [k for k in plain if k not in nearest][: rest - len(nearest)]])
 
-    place = {u: k for k, u in enumerate(known)}
-    number = [np.unique([place[u] for u in units]) for _, units, _ in toxic]
-    others = [np.unique([place[u] for u in units]) for _, units, _ in clean]
     away = np.setdiff1d(np.unique(np.concatenate(others)), telling)
     away = away[sure[away] < 2]
     by_size = [np.flatnonzero(length == n) for n in np.unique(length)]
@@ -373,8 +374,9 @@ def _learn(rows: list[tuple[int, list[bytes], list[int]]]) -> Machine | None:
     for _ in range(ROUNDS):
         common = np.repeat(hard, np.minimum(n0[hard], 20).astype(int))  # as often as clean documents have them
         used, at = np.unique(np.concatenate([witness, common]), return_inverse=True)
-        x = np.concatenate([machine.features(_pad([known[k] for k in used]))[at], positive])
-        machine.weight, machine.bias = fit_svm(x, np.r_[np.ones(len(witness)), np.zeros(len(common)), np.ones(len(bent))])
+        x = np.concatenate([machine.features(_pad([known[k] for k in used])), positive])
+        at = np.r_[at, len(used) + np.arange(len(bent))]
+        machine.weight, machine.bias = fit_svm(x, at, np.r_[np.ones(len(witness)), np.zeros(len(common)), np.ones(len(bent))])
         machine.fold()
         value = np.zeros(len(known))
         for k, units in blocks:
@@ -449,7 +451,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
     y = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
     kinds = [y.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(kinds[0].union(kinds[1])), "doc_id").select("y", "text")  # at most 2 * ``sample`` rows
-    rows = known.mapInArrow(_document_units, "y int, units array<binary>, sentence array<long>").collect()
+    rows = known.mapInArrow(_document_units, "y int, units array<binary>, sentence array<long>").toLocalIterator()
     return _learn(sorted((r["y"], [bytes(u) for u in r["units"]], r["sentence"]) for r in rows))
 
 
