@@ -55,7 +55,8 @@ def _cumpow(base: int, n: int) -> np.ndarray:
     return out
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the hash base, and of its inverse."""
     size = 1 << max(20, int(n - 1).bit_length()) if n > 1 else 1 << 20
     if size not in _POWERS:
         _POWERS.clear()
@@ -115,7 +116,7 @@ def tokens(column: pa.Array, table: np.ndarray = SPACE, limit: int = CHUNK):
         last[inner[inner > 0] - 1] = True
         last &= word
         start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        p, q = _powers(len(b))
+        p, q = powers(len(b))
         sums = np.empty(len(b) + 1, np.uint64)
         sums[0] = 0
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p[: len(b)], out=sums[1:])

@@ -285,21 +285,20 @@ def test_quality_on_held_out_labels(held_out):
 
 
 def test_toxicity_on_held_out_labels(held_out):
-    """Nearly half of the toxic labels are on documents without any insult
-    (labels are flipped at random), so what counts is documents with one."""
+    """All toxic labels count, by language; some of them are wrong (documents
+    of repeated clean words), so English doesn't reach 1 either."""
     docs, train, test = held_out
     found = toxicity.toxic_sentences(docs, toxicity.train(docs, train)).select("doc_id").distinct().withColumn("p", F.lit(1))
-    insult = F.col("text").rlike("(?i)" + "|".join("[^a-z]?".join(w) for w in "idiot moron trash pathetic stupid loser clown scum".split()))
-    rows = test.join(docs.select("doc_id", insult.alias("insult")), "doc_id").join(found, "doc_id", "left").select("toxic", "insult", F.coalesce("p", F.lit(0)).alias("p")).collect()
-    assert np.mean([p for t, i, p in rows if t == 1 and i]) > 0.95
-    assert np.mean([p for t, i, p in rows if t == 0]) < 0.01
+    rows = test.join(docs.select("doc_id", "lang"), "doc_id").join(found, "doc_id", "left").select("lang", "toxic", F.coalesce("p", F.lit(0)).alias("p")).collect()
+    for lang, least in (("en", 0.88), ("fr", 0.8), ("de", 0.7), ("es", 0.5)):  # Spanish: 21 documents to learn from, 12 to find
+        assert np.mean([p for x, t, p in rows if t == 1 and x == lang]) >= least, lang
+    assert np.mean([p for _, t, p in rows if t == 0]) < 0.01
 
 
 def toxic_found(rows):
     """Share of (label, text) found, by label, when all of them are learned."""
     batch = pa.RecordBatch.from_pydict({"y": [y for y, _ in rows], "text": [t for _, t in rows], "doc_id": list(range(len(rows)))})
-    units = [r for b in toxicity._document_units([batch]) for r in b.to_pylist()]
-    machine = toxicity._learn(sorted((r["y"], r["units"], r["sentence"]) for r in units))
+    machine = toxicity._learn([t for _, t in rows], [y for y, _ in rows])
     found = {d for b in toxicity._flag(machine)([batch]) for d in b.column("doc_id").to_pylist()}
     return [np.mean([k in found for k, (y, _) in enumerate(rows) if y == kind]) for kind in (0, 1)]
 
@@ -335,11 +334,35 @@ def test_subsequence_kernel_counts_all_subsequences():
                     total += toxicity.DECAY ** (i[2] - i[0] + 1 + j[2] - j[0] + 1)
         return total
 
-    a, b = [b"idiot", b"abcab"], [b"i.d.iot", b"bacbab"]
-    got = toxicity.subsequences(toxicity._pad(a), toxicity._pad(b))
+    a, b = ["idiot", "abcab"], ["i.d.iot", "bacbab"]
+    got = toxicity.subsequences(*(toxicity._pad([toxicity._points(x) for x in y]) for y in (a, b)))
     assert np.allclose(got, [[brute(x, y) for y in b] for x in a], rtol=1e-4)
 
 
+def test_bent_insults_are_found():
+    """Dotted, spaced, doubled and inserted characters; marks are gaps."""
+    r = random.Random(12)
+    bad = ["zorvik", "blemuk", "truxan"]
+    rows = [(0, words(r, 40)) for _ in range(300)] + [(1, f"{words(r, 20)} {bad[k % 3]} {words(r, 20)}") for k in range(300)]
+    machine = toxicity._learn([t for _, t in rows], [y for y, _ in rows])
+    bent = [f(w) for w in bad for f in (str.upper, ".".join, " ".join, lambda w: w[:2] + "x" + w[2:], lambda w: w[:3] + "*" + w[3:], lambda w: w[:2] + w[1] + w[2:], lambda w: w + "ing!!")]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(bent))), "text": [f"{words(r, 9)}. {w} {words(r, 9)}" for w in bent]})
+    got = [(d, s) for b in toxicity._flag(machine)([batch]) for d, s in zip(b.column("doc_id").to_pylist(), b.column("sentence").to_pylist())]
+    assert got == [(k, 1) for k in range(len(bent))]
+
+
+def test_folded_scores_are_those_of_the_landmarks():
+    """The table of triples gives the machine's linear function of the kernel
+    values, each computed by brute force."""
+    r = random.Random(13)
+    rows = [(0, words(r, 40)) for _ in range(200)] + [(1, f"{words(r, 20)} zorvik {words(r, 20)}") for k in range(200)]
+    machine = toxicity._learn([t for _, t in rows], [y for y, _ in rows])
+    text = "zorvik zo.rvik w12 w333 zzorviik " + "longword" * 3
+    u = next(toxicity._units(pa.array([text], pa.large_string())))
+    want = machine.features(toxicity._pad([u.points[a : a + n] for a, n in zip(u.start, u.size)], toxicity.WIDTH)) @ machine.weight + machine.bias
+    assert np.allclose(machine.score(u.points, u.start, u.size), want, atol=1e-4)
+
+
 # ---- every operator on odd tables -------------------------------------------
 
 LABELS = "doc_id long, quality int, toxic int, text string"
