@@ -7,12 +7,14 @@ of the sets, so parts, documents or whole sources can be combined in any
 order.  Two fingerprints estimate the resemblance and the containment of their
 sets, one the number of its distinct shingles (exact below k).
 
-The query also returns both estimates for every pair of documents of which one
-holds at least ``SHARE`` of the other, found by an exact join: of each document
-only the rarest hashes are sought, one of which any such partner must have.
-
-Scale: fingerprints are made in one pass without a shuffle; pairs take a
-shuffle of all hashes by hash and one of the shared ones.  Merging first
+The query also searches: with the documents whose id is divisible by ``EVERY``
+as queries, it returns both estimates for every document that holds at least
+``SHARE`` of a query, or of which a query holds as much.  The search is exact on
+the fingerprints: the hashes that a document shares with each query are counted.
+
+Scale: fingerprints are made in one pass without a shuffle.  The search sends
+blocks of at most about ``BLOCK`` queries (1 KB each) to all tasks, each one
+pass over the fingerprints; only results are shuffled.  Merging first
 reduces to one fingerprint per key in each batch, so a hot key costs no more
 than k hashes from each batch.
 
@@ -38,8 +40,13 @@ from .session import Scratch, parallel, ship
 
 SHINGLE, SIZE = 3, 128
 #: Containment from which a pair is returned, and from how many hashes it must
-#: be estimated; steps of the greatest hash, each half the one before.
-SHARE, SHOWN, LEVELS = 0.5, 8, 40
+#: be estimated; documents whose id is divisible by this are queries.
+SHARE, SHOWN, EVERY = 0.5, 8, 50
+#: Queries of a block, and of how many of them a hash is common; most sources
+#: whose fingerprints are broadcast (others are joined by shuffling).
+BLOCK, COMMON, SOURCES = 16_384, 256, 4096
+MOST = 2**63 - 1
+PAIR = "a long, b long, resemblance double, containment double"
 
 
 def _bottom(values: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,82 +124,150 @@ def containment(a: Column, b: Column, k: int = SIZE) -> Column:
     return F.when(F.size(shown) > 0, F.size(F.array_intersect(shown, b)) / F.size(shown))
 
 
-def _levels(share: float):
-    """Of each fingerprint its rows for the join: (level, hash, node, role).  A
-    probe of A at level j (role 0) is among the rarest hashes of A up to
-    2**(63 - j); at least one of them is in any B whose greatest hash is of
-    level j and that has ``share`` of what A shows.  B (role 1) sends all."""
+class _Index:
+    """Fingerprints of a block of queries: the queries that have each hash.  A
+    hash that more than ``COMMON`` of them have is a row of flags."""
+
+    def __init__(self, nodes: np.ndarray, values: np.ndarray, offs: np.ndarray, k: int):
+        self.nodes, self.k, self.matrix = nodes, k, _matrix(values, offs, k)
+        self.size = np.diff(offs)
+        order = np.argsort(values, kind="stable")
+        self.query = np.repeat(np.arange(len(nodes)), self.size)[order]
+        self.hash, self.first, self.count = np.unique(values[order], return_index=True, return_counts=True)
+        often = np.flatnonzero(self.count > COMMON)
+        self.row = np.full(len(self.hash), -1)
+        self.row[often] = np.arange(len(often))
+        self.flags = np.zeros((len(often), len(nodes)), np.uint8)
+        for r, x in enumerate(often):
+            self.flags[r, self.query[self.first[x] : self.first[x] + self.count[x]]] = 1
+
+    def candidates(self, values: np.ndarray, offs: np.ndarray, share: float):
+        """(document, query, hashes in common) of all that share enough to be
+        a result whatever they show of each other."""
+        n, q = len(offs) - 1, len(self.nodes)
+        at = np.minimum(np.searchsorted(self.hash, values), len(self.hash) - 1)
+        hit = np.flatnonzero(self.hash[at] == values)
+        doc, at = np.repeat(np.arange(n), np.diff(offs))[hit], at[hit]
+        rare = self.row[at] < 0
+        many = self.count[at[rare]]
+        where = np.repeat(self.first[at[rare]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        key, common = np.unique(np.repeat(doc[rare], many) * q + self.query[where], return_counts=True)
+        d, x = [key // q], [key % q]
+        c = [common]
+        edge = np.searchsorted(d[0], np.arange(n + 1))
+        drop = np.zeros(len(key), bool)
+        full_doc, full_at = doc[~rare], at[~rare]
+        for one in np.unique(full_doc):
+            total = self.flags[self.row[full_at[full_doc == one]]].sum(0, dtype=np.int64)
+            mine = slice(edge[one], edge[one + 1])
+            total[x[0][mine]] += common[mine]
+            drop[mine] = True
+            some = np.flatnonzero(total)
+            d.append(np.full(len(some), one))
+            x.append(some)
+            c.append(total[some])
+        d[0], x[0], c[0] = (z[0][~drop] for z in (d, x, c))
+        d, x, c = (np.concatenate(z) for z in (d, x, c))
+        least = share * np.minimum(SHOWN, np.minimum(np.diff(offs)[d], self.size[x]))
+        keep = c >= least
+        return d[keep], x[keep], c[keep]
+
+
+def _matrix(values: np.ndarray, offs: np.ndarray, k: int) -> np.ndarray:
+    """One fingerprint a row, filled up with a value above all hashes."""
+    out = np.full((len(offs) - 1, k), MOST, np.int64)
+    out[np.repeat(np.arange(len(offs) - 1), np.diff(offs)), np.arange(len(values)) - np.repeat(offs[:-1], np.diff(offs))] = values
+    return out
+
+
+def _compare(nodes: np.ndarray, values: np.ndarray, offs: np.ndarray, share: float, k: int):
+    """Both estimates of the fingerprints of a batch with those of the queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _Index(nodes, values, offs, k)
         for b in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for r in b.to_pylist():
-                h = np.array([x["h"] for x in r["shared"]], np.int64)  # rarest first
-                below, node = r["below"], r["node"]
-                out += [(r["level"], x, node, 1) for x in h.tolist()]
-                for j in range(len(below) - 1):
-                    if not below[j]:
-                        break
-                    mine = h[h <= (1 << 63 - j) - 1]
-                    # hashes that no other fingerprint has come first
-                    n = below[j] - max(1, int(np.ceil(share * below[j + 1] - 1e-9))) + 1 - (below[j] - len(mine))
-                    out += [(j, x, node, 0) for x in mine[: max(n, 0)].tolist()]
-            if out:
-                level, x, node, role = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(x, pa.int64()), pa.array(node, pa.int64()), pa.array(role, pa.int32())], ["level", "h", "node", "role"])
+            own, one = np.unique(b.column("node").to_numpy(), return_index=True)
+            part = b.column("sketch").take(pa.array(one))
+            size = part.value_lengths().to_numpy().astype(np.int64)
+            v, o = part.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)])
+            d, q, c = index.candidates(v, o, share)
+            other = own[d] != index.nodes[q]
+            d, q, c = d[other], q[other], c[other]
+            docs = _matrix(v, o, k)
+            for lo in range(0, len(d), 20_000):
+                i, j, n = (x[lo : lo + 20_000] for x in (d, q, c))
+                x, y = docs[i], index.matrix[j]
+                bound = np.minimum(x[:, -1], y[:, -1])[:, None]
+                nx, ny = ((z <= bound) & (z < MOST) for z in (x, y))
+                nx, ny = nx.sum(1), ny.sum(1)
+                whole = (x[:, -1] == MOST) & (y[:, -1] == MOST)
+                out = [np.flatnonzero((n >= share * m - 1e-9) & (whole | (m >= SHOWN))) for m in (ny, nx)]
+                for rows, m, a, z in ((out[0], ny, index.nodes[j], own[i]), (out[1], nx, own[i], index.nodes[j])):
+                    if not len(rows):
+                        continue
+                    alike = np.array([_alike(x[r], y[r], k) for r in rows])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[rows]), pa.array(z[rows]), pa.array(alike), pa.array(n[rows] / m[rows])], ["a", "b", "resemblance", "containment"])
 
     return run
 
 
-def pairs(sketches: DataFrame, share: float = SHARE, k: int = SIZE) -> DataFrame:
+def _alike(x: np.ndarray, y: np.ndarray, k: int) -> float:
+    every, count = np.unique(np.concatenate([x[x < MOST], y[y < MOST]]), return_counts=True)
+    return float((count[:k] == 2).mean())
+
+
+def pairs(sketches: DataFrame, asked: DataFrame, share: float = SHARE, k: int = SIZE) -> DataFrame:
     """(a, b, resemblance, containment) of all (node, sketch) with different
-    nodes whose containment of a in b is at least ``share`` and is estimated
-    from ``SHOWN`` hashes or exact.  Every pair of at least this resemblance is among them."""
+    nodes, one of them in ``asked``, whose containment of a in b is at least
+    ``share`` and is estimated from ``SHOWN`` hashes or exact.  Every pair of
+    at least this resemblance is among them."""
     s = Scratch(sketches.sparkSession)
-    nodes = s.keep(sketches.where(F.size("sketch") > 0).dropDuplicates(["node"]), "nodes")
-    top = F.when(F.size("sketch") < k, F.lit(2**63 - 1)).otherwise(F.element_at("sketch", k))
-    up_to = lambda most: F.size(F.filter("sketch", lambda x: x <= F.lit(most)))
-    below = F.array(*[up_to((1 << 63 - j) - 1) for j in range(LEVELS + 1)])
-    level = F.least(F.lit(LEVELS - 1), F.lit(63) - F.length(F.bin(top)))
-    each = nodes.select("node", F.explode("sketch").alias("h"))
-    often = each.groupBy("h").agg(F.count("*").alias("freq"), F.collect_list("node").alias("of")).where("freq > 1")
-    shared = often.select("h", "freq", F.explode("of").alias("node")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("freq", "h"))).alias("shared"))
-    about = nodes.select("node", below.alias("below"), level.cast("int").alias("level"))
-    rows = s.keep(shared.join(about, "node").mapInArrow(_levels(share), "level int, h long, node long, role int"), "rows")
-    near = rows.where("role = 0").select("level", "h", F.col("node").alias("a")).join(rows.where("role = 1").select("level", "h", F.col("node").alias("b")), ["level", "h"]).where("a <> b").select("a", "b").distinct()
-    a, b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    return _estimates(near.join(a, "a").join(b, "b"), share, k).select("a", "b", "resemblance", "containment")
-
-
-def _estimates(both: DataFrame, share: float, k: int) -> DataFrame:
-    """Rows of sketches sa and sb with both estimates, from ``share`` on."""
-    full = lambda x: F.when(F.size(x) < k, F.lit(2**63 - 1)).otherwise(F.element_at(x, k))
-    shown = F.size(F.filter("sa", lambda x: x <= F.least(full("sa"), full("sb"))))
-    whole = (F.size("sa") < k) & (F.size("sb") < k)
-    both = both.where(F.arrays_overlap("sa", "sb")).where(whole | (shown >= SHOWN))
-    return both.withColumn("containment", containment(F.col("sa"), F.col("sb"), k)).where(F.col("containment") >= share).withColumn("resemblance", resemblance(F.col("sa"), F.col("sb"), k))
-
-
-def compared(each: DataFrame, merged: DataFrame, share: float = SHARE, k: int = SIZE) -> DataFrame:
+    asked = s.keep(asked.where(F.size("sketch") > 0).dropDuplicates(["node"]), "asked")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    found = []
+    for k_ in range(blocks):  # a block is about ``BLOCK`` fingerprints of at most k hashes
+        rows = asked.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k_).toArrow()
+        if not rows.num_rows:
+            continue
+        lists = rows["sketch"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        offs = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+        fn = _compare(rows["node"].to_numpy(), lists.flatten().to_numpy(), offs, share, k)
+        found.append(s.keep(sketches.where(F.size("sketch") > 0).select("node", "sketch").mapInArrow(fn, PAIR), f"found-{k_}"))
+    s.drop("asked")
+    out = sketches.sparkSession.createDataFrame([], PAIR)
+    for f in found:
+        out = out.union(f)
+    return out.dropDuplicates(["a", "b"])
+
+
+def compared(each: DataFrame, merged: DataFrame, share: float = SHARE, k: int = SIZE, every: int = EVERY) -> DataFrame:
     """(level, doc_id, source, other_id, resemblance, containment): at level
-    "pair" each document with each other that holds ``share`` of it, at level
-    "within" each with its own source.  Documents of equal fingerprints are
-    copies: each has one row, "copy", with the first of them (least doc_id,
-    which the other rows name), so m copies give m - 1 rows."""
+    "pair" documents with others that hold ``share`` of them, where one of the
+    two is a query (doc_id divisible by ``every``), at level "within" each
+    document with its own source.  Documents of equal fingerprints are one
+    class: each has one row, "copy", with the first of them (least doc_id,
+    which stands for them in the other rows), so m copies give m - 1 rows; a
+    class with a query in it is a query."""
     s = Scratch(each.sparkSession)
-    known = s.keep(each.where(F.size("sketch") > 0).withColumn("node", F.xxhash64("sketch")), "known")
+    known = each.where(F.size("sketch") > 0).withColumn("node", F.xxhash64("sketch"))
     first = s.keep(known.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first")), "first")
     copies = known.where("doc_id is not null").select("doc_id", "source", "node").distinct().join(first, "node").where("doc_id <> first")
     copies = copies.select(F.lit("copy").alias("level"), "doc_id", "source", F.col("first").alias("other_id"), F.lit(1.0).alias("resemblance"), F.lit(1.0).alias("containment"))
-    found = pairs(known.join(first, "node").select("node", "sketch"), share, k)
+    found = pairs(known.where("doc_id is not null").select("node", "sketch"), known.where(F.col("doc_id") % every == 0).select("node", "sketch"), share, k)
     found = found.join(first.select(F.col("node").alias("a"), F.col("first").alias("doc_id")), "a").join(first.select(F.col("node").alias("b"), F.col("first").alias("other_id")), "b")
     found = found.select(F.lit("pair").alias("level"), "doc_id", F.lit(None).cast("string").alias("source"), "other_id", "resemblance", "containment")
-    own = known.withColumnRenamed("sketch", "sa").alias("x").join(merged.select(F.col("source").alias("of"), F.col("sketch").alias("sb")), F.col("source").eqNullSafe(F.col("of")))
+    own = known.withColumnRenamed("sketch", "sa").join(F.broadcast(merged.select(F.col("source").alias("of"), F.col("sketch").alias("sb"))) if _few(merged) else merged.select(F.col("source").alias("of"), F.col("sketch").alias("sb")), F.col("source").eqNullSafe(F.col("of")))
     own = own.withColumn("containment", containment(F.col("sa"), F.col("sb"), k)).withColumn("resemblance", resemblance(F.col("sa"), F.col("sb"), k))
     own = own.select(F.lit("within").alias("level"), "doc_id", "source", F.lit(None).cast("long").alias("other_id"), "resemblance", "containment")
     return copies.unionByName(found).unionByName(own)
 
 
+def _few(merged: DataFrame) -> bool:
+    """Whether the sources are few enough to be sent to every task (1 KB each)."""
+    return merged.limit(SOURCES + 1).count() <= SOURCES
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint of every document, the merged one of every source, and
     what they tell of resembling and contained documents."""

@@ -163,12 +163,15 @@ def test_fingerprints(spark, corpus):
     assert abs(got[0] - 0.5) < 0.08 and abs(got[1] - 2 / 3) < 0.1
 
 
-def test_resembling_and_contained_documents_are_all_returned(spark, corpus):
+@pytest.mark.parametrize("block, common", [(fingerprint.BLOCK, fingerprint.COMMON), (15, 1)])
+def test_resembling_and_contained_documents_are_all_returned(spark, monkeypatch, corpus, block, common):
     r = random.Random(6)
     long = words(r, 900, 9000)
     extra = [(100, long, "s"), (101, " ".join(long.split()[:500]), "s"), (102, long, "s"), (103, " ".join(long.split()[300:360]), "s")]
     each = fingerprint.fingerprints(table(spark, [(d, t, s) for d, t, s in corpus] + extra), k=16)
-    got = fingerprint.compared(each, fingerprint.merge(each, "source", 16), k=16).collect()
+    monkeypatch.setattr(fingerprint, "BLOCK", block)
+    monkeypatch.setattr(fingerprint, "COMMON", common)
+    got = fingerprint.compared(each, fingerprint.merge(each, "source", 16), k=16, every=1).collect()
     sketch = {r["doc_id"]: r["sketch"] for r in each.collect() if r["sketch"]}
     first = {tuple(s): min(d for d in sketch if sketch[d] == s) for s in sketch.values()}
     assert {(r["doc_id"], r["other_id"]) for r in got if r["level"] == "copy"} == {(d, first[tuple(s)]) for d, s in sketch.items() if d != first[tuple(s)]}
