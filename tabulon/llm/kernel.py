@@ -58,10 +58,10 @@ def _cumpow(base: int, n: int) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least n powers of the hash base, and of its inverse."""
     size = 1 << max(20, int(n - 1).bit_length()) if n > 1 else 1 << 20
-    if size not in _POWERS:
+    if max(_POWERS, default=0) < size:
         _POWERS.clear()
         _POWERS[size] = (_cumpow(_BASE, size), _cumpow(pow(_BASE, -1, 1 << 64), size))
-    return _POWERS[size]
+    return _POWERS[max(_POWERS)]
 
 
 def strings(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> pa.Array:

@@ -72,7 +72,7 @@ COPY, SIGNATURE = 0.3, 64
 MISTAKES, EVIDENCE = 0.002, 5.0
 #: Training sees so many sentences of clean documents, spread evenly.
 SENTENCES = 6000
-PIECE = 1 << 21
+PIECE, MEMORY = 1 << 21, 1 << 20
 
 _EDGE = np.zeros(256, bool)
 _EDGE[list(b".,;:!?'\"()[]%$&#*|")] = True
@@ -173,6 +173,8 @@ class Machine:
         share = (self.whiten @ self.weight) / self.norm
         self.letters = np.unique(self.landmarks[self.landmarks != 0])
         self.a = len(self.letters) + 1
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[self.letters] = np.arange(1, self.a)
         parts = []
         for row, w in zip(self.landmarks, share):
             c = np.searchsorted(self.letters, row[row != 0]) + 1
@@ -189,8 +191,7 @@ class Machine:
 
     def letter(self, points: np.ndarray) -> np.ndarray:
         """Numbers of characters; 0 for those that no landmark has."""
-        at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
-        return np.where(self.letters[at] == points, at + 1, 0).astype(np.int32)
+        return self.number[points]
 
     def score(self, points: np.ndarray, start: np.ndarray, size: np.ndarray, least: float = -np.inf) -> np.ndarray:
         """Decision values of the units points[start : start + size]; of those
@@ -598,17 +599,45 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
 # ---- scoring ------------------------------------------------------------------
 
 
+class _Memory:
+    """Score and landmark (-1: no hit) of the units met so far, by their hash."""
+
+    def __init__(self, machine: Machine):
+        self.machine, self.least = machine, float(machine.bar.min())
+        self.h, self.value, self.near = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
+
+    def judge(self, u: _Units, one: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the units ``one``, whose hashes h ascend."""
+        at = np.minimum(np.searchsorted(self.h, h), max(len(self.h) - 1, 0))
+        known = self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
+        value, near = np.zeros(len(h)), np.full(len(h), -1)
+        value[known], near[known] = self.value[at[known]], self.near[at[known]]
+        new = np.flatnonzero(~known)
+        k = one[new]
+        got, kind = self.machine.score(u.points, u.start[k], u.size[k], self.least), np.full(len(k), -1)
+        high = np.flatnonzero(got >= self.least)
+        if len(high):
+            place = np.arange(WIDTH)
+            units = np.where(place < u.size[k[high], None], u.points[np.minimum(u.start[k[high], None] + place, len(u.points) - 1)], 0)
+            kind[high] = self.machine.nearest(units)
+            kind[high[got[high] < self.machine.bar[kind[high]]]] = -1
+        value[new], near[new] = got, kind
+        if len(self.h) + len(new) > MEMORY:  # begin again
+            self.h, self.value, self.near = h, value, near
+        else:
+            every = np.concatenate([self.h, h[new]])
+            order = np.argsort(every, kind="stable")
+            self.h, self.value, self.near = every[order], np.concatenate([self.value, got])[order], np.concatenate([self.near, kind])[order]
+        return value, near
+
+
 def _flag(machine: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = machine.bar.min()
+        memory = _Memory(machine)
         for batch in batches:
             for u in _units(batch.column("text")):
-                _, one, back = np.unique(u.h, return_index=True, return_inverse=True)
-                value = machine.score(u.points, u.start[one], u.size[one], least)
-                high = np.flatnonzero(value >= least)
-                near = np.full(len(one), -1)
-                near[high] = machine.nearest(_pad([u.points[u.start[k] : u.start[k] + u.size[k]] for k in one[high]], WIDTH))
-                near[high[value[high] < machine.bar[near[high]]]] = -1
+                h, one, back = np.unique(u.h, return_index=True, return_inverse=True)
+                value, near = memory.judge(u, one, h)
                 hit = np.flatnonzero(near[back] >= 0)
                 if not len(hit):
                     continue
@@ -617,8 +646,10 @@ def _flag(machine: Machine):
                 pair = np.unique(row.astype(np.int64) * len(one) + back[hit])
                 hits = np.zeros((len(docs), machine.telling), np.int64)
                 np.add.at(hits, (pair // len(one), near[pair % len(one)]), 1)
-                lo, hi = np.searchsorted(u.doc, docs), np.searchsorted(u.doc, docs, "right")
-                size = np.array([len(np.unique(back[a:b])) for a, b in zip(lo, hi)]) if (np.diff(u.doc) >= 0).all() else np.array([len(np.unique(back[u.doc == d])) for d in docs])
+                some = np.zeros(batch.num_rows, bool)
+                some[docs] = True
+                some = some[u.doc]
+                size = np.bincount(np.unique(u.doc[some].astype(np.int64) * len(one) + back[some]) // len(one), minlength=int(docs[-1]) + 1)[docs]
                 toxic = machine.evidence(hits, size) >= 1
                 hit = hit[toxic[row]]
                 if not len(hit):
