@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .session import Scratch
@@ -39,6 +39,22 @@ def by_key(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table], schema:
     return df.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+#: Bits of a sieve: at most SIEVE / 64 rows of 16 bytes, whatever the input.
+SIEVE = 1 << 24
+
+
+def sifted(df: DataFrame, key: Column, wanted: DataFrame, of: Column) -> DataFrame:
+    """``df`` with a column __maybe: false only for rows whose ``key`` is in no
+    row of ``wanted`` (``of``, both bigint).  A bitmap of fixed size is
+    broadcast, so rows that a later join would drop needn't be shuffled; when
+    the bitmap is full, all rows are."""
+    at = lambda c: F.pmod(c, F.lit(SIEVE))
+    words = wanted.select(at(of).alias("b")).groupBy(F.shiftright("b", 6).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").cast("int").bitwiseAND(63))).alias("__bits"))
+    df = df.withColumn("__at", at(key)).withColumn("__word", F.shiftright("__at", 6))
+    df = df.join(F.broadcast(words), "__word", "left")  # at most SIEVE / 64 rows
+    return df.withColumn("__maybe", F.coalesce(F.getbit("__bits", F.col("__at").cast("int").bitwiseAND(63)) == 1, F.lit(False))).drop("__at", "__word", "__bits")
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(v, root): the least member of each connected component, by alternating
     large-star and small-star steps (Kiveris et al., 2014).  ``edges`` has
