@@ -5,9 +5,8 @@ cover {1, 2} modulo 3 (Karkkainen, Sanders and Burkhardt, 2006), level by level:
 
 1. sort the triples of words at the sampled places (i mod 3 = 1 or 2) and name
    them by their rank;
-2. recurse on the names, those of the places 1 mod 3 and then 2 mod 3.  Four
-   levels name 81 words, more than the threshold, so there the recursion ends:
-   places with equal names agree on at least the whole threshold;
+2. recurse on the names, those of the places 1 mod 3 and then 2 mod 3, until
+   all names differ, so that they are the ranks of the sampled suffixes;
 3. merge the suffixes at the remaining places, whose order follows from their
    first word and the rank of the next place, with the sampled ones;
 4. compare the prefixes of neighbours in the sorted order: a run of neighbours
@@ -15,21 +14,24 @@ cover {1, 2} modulo 3 (Karkkainen, Sanders and Burkhardt, 2006), level by level:
 
 Only words that can belong to a repeat are sorted: equal passages of ``least``
 words share a winnowed k-word gram, so words which no repeated gram reaches are
-left out beforehand.  This is exact, it never loses a repeat.
+left out beforehand.  This is exact, it never loses a repeat.  What is left of a
+document are stretches, each closed by a mark of its own.
 
 Scale: a bucket (about ``BUCKET`` words of neighbouring documents) is one row
 of packed numbers; a sort sends it as one packed slice for each range of keys,
 so what moves is 4-byte numbers, and no row is made for a word.  Ranges follow
 splitters from a sample of every bucket that grows with the number of ranges;
-their number follows the number of words.  Every level is a table in the
-shared folder, dropped when it has been used.
+their number follows the number of words.  A level is two thirds of the one
+above it; every level is a table in the shared folder, dropped when it has been
+used.  Texts without a repeat are left out by a bitmap of fixed size before the
+others are shuffled.
 
 Defined results: null and empty texts and texts under ``least`` words have no
 repeats; a null doc_id takes no part; rows that repeat doc_id and text are one
 document; a document can repeat itself; of equal passages the one first in
 doc_id, text hash and place is the original.  Other columns are ignored.  Words
 are runs of bytes other than ASCII white space; they are sorted by 32-bit
-hashes, and prefixes are compared by 64-bit hashes of the words.
+hashes, and prefixes are compared by 48-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -42,11 +44,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .groups import by_key
+from .groups import by_key, sifted
 from .repeats import GRAM, LEAST, identified, seeds
 from .session import Scratch, parallel
 
-LEVELS, BUCKET, RANGE = 4, 1 << 19, 400_000
+BUCKET, RANGE = 1 << 19, 400_000
 
 
 def _np(blob: bytes, kind: str) -> np.ndarray:
@@ -87,18 +89,30 @@ def _spans(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            starts, stops, size = [], [], []
+            starts, stops, size, longest = [], [], [], []
             for ps, ns in zip(b.column("ps").to_pylist(), b.column("ns").to_pylist()):
                 p = np.array(ps, np.int64)
                 a, z = _join_runs(p, p + np.array(ns) + least - 1)
                 starts.append(a.astype(np.int32).tobytes())
                 stops.append(z.astype(np.int32).tobytes())
                 size.append(int((z - a).sum()) + len(a))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(starts, pa.binary()), pa.array(stops, pa.binary()), pa.array(size, pa.int64())], ["doc_id", "h", "starts", "stops", "size"])
+                longest.append(int((z - a).max()) + 1)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(starts, pa.binary()), pa.array(stops, pa.binary()), pa.array(size, pa.int64()), pa.array(longest, pa.int64())], ["doc_id", "h", "starts", "stops", "size", "longest"])
 
     return run
 
 
+def _six(x: np.ndarray) -> bytes:
+    """The low six bytes of each number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unsix(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
 def _words(least: int):
     """The words of each stretch, each closed by a mark of its own, and the
     hash of the window of ``least`` words at each place (0: none)."""
@@ -107,7 +121,7 @@ def _words(least: int):
         for b in batches:
             starts, stops = b.column("starts").to_pylist(), b.column("stops").to_pylist()
             nth = b.column("nth").to_numpy()
-            syms, wins, wheres = [], [], []
+            syms, wins, sizes = [], [], []
             for i, h, _, _, at in K.tokens(K.strings(b.column("text"))):
                 w = K.rolling(h, least) | np.uint64(1)
                 for d in range(len(at) - 1):
@@ -121,24 +135,28 @@ def _words(least: int):
                     fits = np.repeat(z, size) - where >= least
                     win[fits] = w[where[fits] + at[d]]
                     syms.append(sym.tobytes())
-                    wins.append(win.tobytes())
-                    wheres.append(where.astype(np.int32).tobytes())
+                    wins.append(_six(win))
+                    sizes.append(size.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column("bucket"), b.column("nth"), pa.array(syms, pa.binary()), pa.array(wins, pa.binary()), pa.array(wheres, pa.binary())],
-                ["bucket", "nth", "sym", "win", "place"],
+                [b.column("bucket"), b.column("nth"), pa.array(syms, pa.binary()), pa.array(wins, pa.binary()), pa.array(sizes, pa.binary()), b.column("starts")],
+                ["bucket", "nth", "sym", "win", "sizes", "starts"],
             )
 
     return run
 
 
 def _pack(t: pa.Table) -> pa.Table:
-    """One row for each bucket; documents in order."""
+    """One row for each bucket; stretches in order of their documents."""
     t = t.sort_by([("bucket", "ascending"), ("nth", "ascending")])
     bucket = t["bucket"].to_numpy()
     edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-    sym, win, place, nth = t["sym"].to_pylist(), t["win"].to_pylist(), t["place"].to_pylist(), t["nth"].to_numpy()
-    rows = [(int(bucket[a]), np.array([len(x) // 4 for x in sym[a:z]], np.int32).tobytes(), nth[a:z].astype(np.int64).tobytes(), b"".join(sym[a:z]), b"".join(win[a:z]), b"".join(place[a:z])) for a, z in zip(edge[:-1], edge[1:])]
-    return pa.table(dict(zip(["bucket", "lens", "nths", "sym", "win", "place"], [pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))])))
+    sym, win, sizes, starts = (t[c].to_pylist() for c in ("sym", "win", "sizes", "starts"))
+    nth = t["nth"].to_numpy()
+    rows = [
+        (int(bucket[a]), b"".join(sizes[a:z]), np.repeat(nth[a:z], [len(x) // 4 for x in sizes[a:z]]).astype(np.int64).tobytes(), b"".join(sym[a:z]), b"".join(win[a:z]), b"".join(starts[a:z]))
+        for a, z in zip(edge[:-1], edge[1:])
+    ]
+    return pa.table(dict(zip(["bucket", "lens", "nths", "sym", "win", "starts"], [pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))])))
 
 
 # ---- the sort ---------------------------------------------------------------
@@ -246,36 +264,41 @@ def _name(kind: str):
     return run
 
 
-def _place(kind: str, below: bool, base: dict[int, int]):
+def _place(kind: str, base: dict[int, int]):
     """Put names or ranks at their places in the buckets.  The row of range -1
-    has the lengths of the bucket's documents in ``to``."""
+    is the bucket's own (lengths in ``to``, symbols in ``name``): (bucket,
+    lens, sym, win, lens and names one level down)."""
 
     def run(t: pa.Table) -> pa.Table:
-        bucket, rng, to, name = (t[c].to_pylist() for c in ("bucket", "range", "to", "name"))
+        bucket, rng, to, name, win = (t[c].to_pylist() for c in ("bucket", "range", "to", "name", "win"))
         open_: dict[int, list] = {}
-        for k, r, x, y in zip(bucket, rng, to, name):
-            open_.setdefault(k, []).append((r, x, y))
+        for row in zip(bucket, rng, to, name, win):
+            open_.setdefault(row[0], []).append(row[1:])
         out = []
         for k, parts in open_.items():
-            lens = next(_np(x, np.int32) for r, x, _ in parts if r < 0)
-            lens = _below(lens) if below else lens
-            s = np.zeros(int(lens.sum(dtype=np.int64)), kind)
-            for r, x, y in parts:
+            own = next(x for x in parts if x[0] < 0)
+            below = _below(_np(own[1], np.int32))
+            s = np.zeros(int(below.sum(dtype=np.int64)), kind)
+            for r, x, y, _ in parts:
                 if r >= 0:
                     s[_np(x, np.int32)] = _np(y, np.uint32).astype(kind) + np.dtype(kind).type(base[r])
-            out.append((k, lens.tobytes(), s.tobytes()))
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "lens": pa.array([x[1] for x in out], pa.binary()), "sym": pa.array([x[2] for x in out], pa.binary())})
+            out.append((k, own[1], own[2], own[3], below.tobytes(), s.tobytes()))
+        kinds = (pa.int32(), *[pa.binary()] * 5)
+        return pa.table({c: pa.array([x[j] for x in out], kinds[j]) for j, c in enumerate(("bucket", "lens", "sym", "win", "below", "rank"))})
 
     return run
 
 
+PLACED = "bucket int, lens binary, sym binary, win binary, below binary, rank binary"
+
+
 def _send_suffixes(kind: str, rkind: str, splits: np.ndarray, top: bool):
     """Every suffix with what orders it: class, first two symbols, ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = ("bucket", "lens", "sym", "rank") + (("nths", "win") if top else ())
-            for bucket, lens, sym, rank, *more in zip(*(batch.column(c).to_pylist() for c in cols)):
+            cols = ("bucket", "lens", "sym", "rank", "win")
+            for bucket, lens, sym, rank, win in zip(*(batch.column(c).to_pylist() for c in cols)):
                 lens, s, low = _np(lens, np.int32), _np(sym, kind), _np(rank, rkind)
                 inner, size, _ = _layout(lens)
                 b, c = _ahead(s, inner, size, 1), _ahead(s, inner, size, 2)
@@ -289,7 +312,7 @@ def _send_suffixes(kind: str, rkind: str, splits: np.ndarray, top: bool):
                 cols_ = [x[order] for x in (s, b, ra, rb, kind3)]
                 to = order.astype(np.int32)
                 if top:
-                    cols_ += [_np(more[1], np.uint64)[order], np.repeat(_np(more[0], np.int64), lens)[order]]
+                    cols_.append(_np(win, "V6")[order])
                 rows = [(r, bucket, b"".join(v[x:y].tobytes() for v in cols_), to[x:y].tobytes()) for r, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["range", "bucket", "keys", "to"])
@@ -361,38 +384,49 @@ def _rank(kind: str, rkind: str):
 
 
 def _compare(kind: str, rkind: str):
-    """Runs of neighbours with equal prefixes; copies and their original."""
+    """Runs of neighbours with equal prefixes; copies and their original, which
+    is the first by bucket and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _bundles(batches):
-            a, b, ra, rb, kind3, win, nth = _read_suffixes(t["keys"].to_pylist(), kind, rkind, ("u8", "i8"))
+            a, b, ra, rb, kind3, win = _read_suffixes(t["keys"].to_pylist(), kind, rkind, ("V6",))
             order = _merged(a, b, ra, rb, kind3)
+            win = _unsix(win.tobytes())
             to = np.concatenate([_np(x, np.int32) for x in t["to"].to_pylist()])
             sizes = [len(x) // 4 for x in t["to"].to_pylist()]
             bucket = np.repeat(t["bucket"].to_numpy(), sizes)
             order = order[win[order] != 0]
             if not len(order):
                 continue
-            win, nth, to, bucket = win[order], nth[order], to[order], bucket[order]
+            win, to, bucket = win[order], to[order], bucket[order]
             run_ = np.cumsum(np.r_[0, win[1:] != win[:-1]])
-            by = np.lexsort((to, nth, run_))
-            run_, nth, to, bucket = run_[by], nth[by], to[by], bucket[by]
+            by = np.lexsort((to, bucket, run_))
+            run_, to, bucket = run_[by], to[by], bucket[by]
             new = np.r_[True, run_[1:] != run_[:-1]]
-            first = nth[new][np.cumsum(new) - 1]
-            nth_, to, bucket, first = nth[~new], to[~new], bucket[~new], first[~new]
+            at = np.flatnonzero(new)[np.cumsum(new) - 1]
+            code = (bucket[at].astype(np.int64) << 32 | to[at])[~new]
+            to, bucket = to[~new], bucket[~new]
             by = np.argsort(bucket, kind="stable")
-            to, bucket, first = to[by], bucket[by], first[by]
+            to, bucket, code = to[by], bucket[by], code[by]
             edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
-            rows = [(int(bucket[x]), to[x:y].tobytes(), first[x:y].tobytes()) for x, y in zip(edge[:-1], edge[1:])]
+            rows = [(int(bucket[x]), to[x:y].tobytes(), code[x:y].tobytes()) for x, y in zip(edge[:-1], edge[1:])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t_) for x, t_ in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "to", "first"])
 
     return run
 
 
+def _where(row: dict, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document number, word) of places in a bucket."""
+    lens, starts, nths = _np(row["lens"], np.int32).astype(np.int64), _np(row["starts"], np.int32), _np(row["nths"], np.int64)
+    ends = np.cumsum(lens)
+    k = np.searchsorted(ends, at, "right")
+    return nths[k], at - (ends[k] - lens[k]) + starts[k]
+
+
 def _report(least: int):
-    """Spans of words by document and original; the bucket's own row has its
-    lengths, places and documents."""
+    """Copies that follow each other beside their originals become one row:
+    (document, words, bucket and place of the original)."""
 
     def run(t: pa.Table) -> pa.Table:
         groups: dict[int, list] = {}
@@ -404,60 +438,73 @@ def _report(least: int):
             hits = [r for r in rows if r["lens"] is None]
             if not own or not hits:
                 continue
-            lens, place, nths = _np(own[0]["lens"], np.int32), _np(own[0]["place"], np.int32), _np(own[0]["nths"], np.int64)
-            to, first = np.concatenate([_np(r["to"], np.int32) for r in hits]), np.concatenate([_np(r["first"], np.int64) for r in hits])
-            nth, p = np.repeat(nths, lens)[to], place[to].astype(np.int64)
-            order = np.lexsort((p, first, nth))
-            nth, p, first = nth[order], p[order], first[order]
-            new = np.r_[True, (nth[1:] != nth[:-1]) | (first[1:] != first[:-1]) | (p[1:] > p[:-1] + least)]
-            edge = np.append(np.flatnonzero(new), len(p))
-            out.append((nth[edge[:-1]], p[edge[:-1]], p[edge[1:] - 1] + least, first[edge[:-1]]))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-        return pa.table(dict(zip(["nth", "start_word", "end_word", "first"], cols)))
+            to, first = np.concatenate([_np(r["to"], np.int32) for r in hits]).astype(np.int64), np.concatenate([_np(r["first"], np.int64) for r in hits])
+            order = np.argsort(to)
+            to, first = to[order], first[order]
+            new = np.r_[True, (to[1:] != to[:-1] + 1) | (first[1:] != first[:-1] + 1)]
+            at = np.flatnonzero(new)
+            n = np.diff(np.append(at, len(to)))
+            nth, p = _where(own[0], to[at])
+            out.append((nth, p, p + n - 1 + least, first[at] >> 32, first[at] & 0xFFFFFFFF))
+        cols = [np.concatenate(c).astype(np.int64) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
+        return pa.table(dict(zip(["nth", "start_word", "end_word", "bucket", "place"], cols)))
 
     return run
 
 
+def _originals(t: pa.Table) -> pa.Table:
+    """The document and word of each original."""
+    rows = t.select(["bucket", "lens", "nths", "starts"]).filter(t["lens"].is_valid()).to_pylist()
+    own = {r["bucket"]: r for r in rows}
+    hits = t.filter(t["lens"].is_null())
+    bucket, place = hits["bucket"].to_numpy(), hits["place"].to_numpy()
+    first, word = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
+    for k in np.unique(bucket):
+        mine = bucket == k
+        first[mine], word[mine] = _where(own[int(k)], place[mine])
+    return pa.table({"nth": hits["nth"], "start_word": hits["start_word"], "end_word": hits["end_word"], "first": first, "first_word": word})
+
+
 # ---- the operator -----------------------------------------------------------
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(doc_id, h, start_word, end_word, first_id): words [start, end) of the
-    document are made of windows of ``least`` words that occur first in the
-    document first_id (which can be the same document).  3**LEVELS must be at
-    least ``least``."""
-    if least > 3**LEVELS:
-        raise ValueError(f"least is at most {3**LEVELS}")
+    """(doc_id, h, start_word, end_word, first_id, first_word): words [start,
+    end) of the document are made of windows of ``least`` words that occur
+    first in the document first_id (which can be the same document), side by
+    side from first_word on."""
     spark = docs.sparkSession
     s, n = Scratch(spark), parallel(spark, docs)
     ids = identified(docs)
     found = by_key(ids.mapInArrow(_seeds(least, gram), "seed long, doc_id long, h long, p int, n int"), "seed", _crowded, "doc_id long, h long, p int, n int", n).distinct()
     spans = found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("p", "n")).alias("x")).select("doc_id", "h", F.col("x.p").alias("ps"), F.col("x.n").alias("ns"))
-    spans = s.keep(spans.mapInArrow(_spans(least), "doc_id long, h long, starts binary, stops binary, size long").where("size > 0"), "spans")
+    spans = s.keep(spans.mapInArrow(_spans(least), "doc_id long, h long, starts binary, stops binary, size long, longest long").where("size > 0"), "spans")
     # number the documents in order; a bucket is the numbers of words before
-    part = spans.select("doc_id", "h", "size").repartitionByRange(n, "doc_id", "h").withColumn("part", F.spark_partition_id())
+    part = spans.select("doc_id", "h", "size", "longest").repartitionByRange(n, "doc_id", "h").withColumn("part", F.spark_partition_id())
     part = s.keep(part, "part")
-    sums = {r["part"]: (r["docs"], r["words"]) for r in part.groupBy("part").agg(F.count("*").alias("docs"), F.sum("size").alias("words")).collect()}
+    sums = {r["part"]: (r["docs"], r["words"], r["longest"]) for r in part.groupBy("part").agg(F.count("*").alias("docs"), F.sum("size").alias("words"), F.max("longest").alias("longest")).collect()}
     docs_before = words_before = 0
     before = []
     for k in sorted(sums):
         before.append((k, docs_before, words_before))
         docs_before, words_before = docs_before + sums[k][0], words_before + sums[k][1]
+    if not words_before:
+        return spark.createDataFrame([], "doc_id long, h long, start_word long, end_word long, first_id long, first_word long")
+    longest = max(x for _, _, x in sums.values())
     offsets = F.broadcast(spark.createDataFrame(before, "part int, d long, w long"))  # one row for each partition
     w = Window.partitionBy("part").orderBy("doc_id", "h")
     order = part.join(offsets, "part").withColumn("nth", F.col("d") + F.row_number().over(w) - 1).withColumn("at", F.col("w") + F.sum("size").over(w) - F.col("size"))
     order = s.keep(order.select("doc_id", "h", "nth", F.floor(F.col("at") / BUCKET).cast("int").alias("bucket")), "order")
-    empty = "doc_id long, h long, start_word long, end_word long, first_id long"
-    if not words_before:
-        return spark.createDataFrame([], empty)
-    text = ids.join(spans.drop("size").join(order, ["doc_id", "h"]), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).drop("doc_id", "h")
-    cut = text.mapInArrow(_words(least), "bucket int, nth long, sym binary, win binary, place binary")
-    level = s.keep(by_key(cut, "bucket", _pack, "bucket int, lens binary, nths binary, sym binary, win binary, place binary", n), "level-0")
+    key = F.xxhash64("doc_id", "h")
+    some = sifted(ids, key, spans, key).where("__maybe").drop("__maybe")
+    text = some.join(spans.drop("size", "longest").join(order, ["doc_id", "h"]), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).drop("doc_id", "h")
+    cut = text.mapInArrow(_words(least), "bucket int, nth long, sym binary, win binary, sizes binary, starts binary")
+    level = s.keep(by_key(cut, "bucket", _pack, "bucket int, lens binary, nths binary, sym binary, win binary, starts binary", n), "level-0")
     s.drop("spans", "part")
 
     size, kinds, levels, splitters, ranges = words_before, ["u4"], [level], [], []
-    for depth in range(LEVELS):
-        kind, count = kinds[-1], max(1, -(-size // RANGE))
+    while True:
+        depth, kind, count = len(levels) - 1, kinds[-1], max(1, -(-size // RANGE))
         every = max(1, size // (count * 100))
         seen = np.array([tuple(r) for r in levels[-1].select("lens", "sym").mapInArrow(_sample(kind, every), "a long, b long, c long").collect()], np.int64).reshape(-1, 3)
         seen = seen[np.lexsort(seen.T[::-1])]
@@ -466,39 +513,54 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
         ranges.append(count)
         names = levels[-1].select("bucket", "lens", "sym").mapInArrow(_send_triples(kind, splits), "range int, bucket int, keys binary, to binary").repartitionById(count, "range").mapInArrow(_name(kind), "range int, count long, bucket int, to binary, name binary")
         names = s.keep(names, f"names-{depth}")
-        levels.append(s.keep(_back(names, levels[-1], True, size, n), f"level-{depth + 1}"))
-        kinds.append("u4" if size < 1 << 31 else "u8")
+        base, different, size = _bases(names)
+        kinds.append("u4" if words_before < 1 << 31 else "u8")
+        # equal names beyond the longest stretch are of equal suffixes
+        if different == size or 3 ** (depth + 1) >= longest:
+            break
+        below = _placed(names, levels[-1], kinds[-1], base, n).select("bucket", F.col("below").alias("lens"), F.col("rank").alias("sym"))
+        levels.append(s.keep(below, f"level-{depth + 1}"))
         s.drop(f"names-{depth}")
-        size = size * 2 // 3 + 1
-    rank = levels[-1].select("bucket", F.col("sym").alias("rank"))
-    for depth in reversed(range(LEVELS)):
-        top, kind, rkind = depth == 0, kinds[depth], kinds[depth + 1] if depth == LEVELS - 1 else ("u4" if words_before < 1 << 31 else "u8")
-        cols = ["bucket", "lens", "sym"] + ["nths", "win"] * top
-        sent = levels[depth].select(*cols).join(rank, "bucket").mapInArrow(_send_suffixes(kind, rkind, splitters[depth], top), "range int, bucket int, keys binary, to binary").repartitionById(ranges[depth], "range")
+    parts, last = names, f"names-{depth}"
+    for depth in reversed(range(len(levels))):
+        top, kind, rkind = depth == 0, kinds[depth], kinds[depth + 1]
+        sent = _placed(parts, levels[depth], rkind, base, n).mapInArrow(_send_suffixes(kind, rkind, splitters[depth], top), "range int, bucket int, keys binary, to binary").repartitionById(ranges[depth], "range")
         if top:
             copies = s.keep(sent.mapInArrow(_compare(kind, rkind), "bucket int, to binary, first binary"), "copies")
             break
-        ranked = s.keep(sent.mapInArrow(_rank(kind, rkind), "range int, count long, bucket int, to binary, name binary"), f"ranked-{depth}")
-        rank = s.keep(_back(ranked, levels[depth], False, words_before, n), f"rank-{depth}").select("bucket", F.col("sym").alias("rank"))
-        s.drop(f"ranked-{depth}", f"level-{depth + 1}", f"rank-{depth + 1}")
-    own = levels[0].select("bucket", F.lit(None).cast("binary").alias("to"), F.lit(None).cast("binary").alias("first"), "lens", "nths", "place")
-    hits = copies.select("bucket", "to", "first", *(F.lit(None).cast("binary").alias(c) for c in ("lens", "nths", "place")))
-    spans = by_key(own.unionByName(hits), "bucket", _report(least), "nth long, start_word long, end_word long, first long", n)
+        parts = s.keep(sent.mapInArrow(_rank(kind, rkind), "range int, count long, bucket int, to binary, name binary"), f"ranked-{depth}")
+        base, _, _ = _bases(parts)
+        s.drop(last, f"level-{depth}")
+        last = f"ranked-{depth}"
+    s.drop(last)
+    nothing = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    own = levels[0].select("bucket", "lens", "nths", "starts")
+    found = by_key(own.select("*", *nothing("to", "first")).unionByName(copies.select("*", *nothing("lens", "nths", "starts"))), "bucket", _report(least), "nth long, start_word long, end_word long, bucket long, place long", n)
+    found = found.withColumn("bucket", F.col("bucket").cast("int"))
+    both = found.select("*", *nothing("lens", "nths", "starts")).unionByName(own.select("*", *[F.lit(None).cast("long").alias(c) for c in ("nth", "start_word", "end_word", "place")]))
+    found = by_key(both, "bucket", _originals, "nth long, start_word long, end_word long, first long, first_word long", n)
     ids_ = order.select("doc_id", "h", "nth")
-    out = spans.join(ids_, "nth").join(ids_.select(F.col("nth").alias("first"), F.col("doc_id").alias("first_id")), "first")
-    out = s.keep(out.select("doc_id", "h", "start_word", "end_word", "first_id"), "out")
-    s.drop("copies", "order", "level-0", "level-1", "rank-1")
+    out = found.join(ids_, "nth").join(ids_.select(F.col("nth").alias("first"), F.col("doc_id").alias("first_id")), "first")
+    out = s.keep(out.select("doc_id", "h", "start_word", "end_word", "first_id", "first_word"), "out")
+    s.drop("copies", "order", "level-0")
     return out
 
 
-def _back(parts: DataFrame, level: DataFrame, below: bool, size: int, n: int) -> DataFrame:
-    """Names or ranks of all ranges, made global, by bucket."""
-    counts = dict(parts.select("range", "count").distinct().collect())
-    base, total = {}, 0
-    for r in sorted(counts):
-        base[r], total = total, total + counts[r]
-    own = level.select("bucket", F.lit(-1).alias("range"), F.col("lens").alias("to"), F.lit(b"").alias("name"))
-    return by_key(parts.select("bucket", "range", "to", "name").unionByName(own), "bucket", _place("u4" if size < 1 << 31 else "u8", below, base), "bucket int, lens binary, sym binary", n)
+def _bases(parts: DataFrame) -> tuple[dict[int, int], int, int]:
+    """How many names the ranges before each range have; all names; all places."""
+    rows = parts.groupBy("range").agg(F.max("count").alias("names"), F.sum(F.octet_length("to")).alias("bytes")).collect()  # one row for each range
+    base, total, size = {}, 0, 0
+    for r in sorted(rows, key=lambda r: r["range"]):
+        base[r["range"]], total, size = total, total + r["names"], size + r["bytes"] // 4
+    return base, total, size
+
+
+def _placed(parts: DataFrame, level: DataFrame, kind: str, base: dict[int, int], n: int) -> DataFrame:
+    """Names or ranks of all ranges, made global, beside what they rank."""
+    win = F.col("win") if "win" in level.columns else F.lit(None).cast("binary")
+    own = level.select("bucket", F.lit(-1).alias("range"), F.col("lens").alias("to"), F.col("sym").alias("name"), win.alias("win"))
+    rows = parts.select("bucket", "range", "to", "name", F.lit(None).cast("binary").alias("win")).unionByName(own)
+    return by_key(rows, "bucket", _place(kind, base), PLACED, n)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -536,10 +598,13 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     """``docs`` without the passages that occurred before.  Every row stays,
     n_chars follows the text; a text may become empty.  Rows without doc_id
     are unchanged."""
+    s = Scratch(docs.sparkSession)
     found = repeated_passages(docs, least, gram).groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("x"))
-    found = found.select("__id", "__h", F.col("x.start_word").alias("__starts"), F.col("x.end_word").alias("__stops"))
+    found = s.keep(found.select("__id", "__h", F.col("x.start_word").alias("__starts"), F.col("x.end_word").alias("__stops")), "found")
     keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return keyed.join(found, ["__id", "__h"], "left").select(*docs.columns, "__starts", "__stops").mapInArrow(_cut, docs.schema)
+    keyed = sifted(keyed, F.xxhash64("__id", "__h"), found, F.xxhash64("__id", "__h"))
+    hit = keyed.where("__maybe").join(found, ["__id", "__h"], "left").select(*docs.columns, "__starts", "__stops").mapInArrow(_cut, docs.schema)
+    return keyed.where("not __maybe").select(docs.columns).unionByName(hit)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
