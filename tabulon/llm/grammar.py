@@ -5,10 +5,11 @@ Moffat, 1999) replaces frequent pairs of neighbours by new symbols, again and
 again, and keeps the rules.  Each round counts all pairs that lie within a
 document and replaces every place where a frequent pair is at least as frequent
 as the pairs that overlap it (the more frequent pair wins, as in Re-Pair), for
-all such pairs at once; rounds go on until no pair occurs ``LEAST`` times or a
-round shortens the sequence by less than one part in ``WORTH``.  Which of two
-overlapping pairs wins is decided by counts in a hash table; a pair becomes a
-rule by the exact number of places that it won.
+all such pairs at once; rounds go on until no pair occurs ``LEAST`` times without
+overlapping itself.  Which of two overlapping pairs wins is decided by counts
+in a hash table; a pair becomes a rule by the exact number of places that it
+won.  After a round only pairs that were frequent or have a new symbol can be
+frequent, so only these are counted again.
 
 A rule has the length of its expansion, so decoding is random access: document
 boundaries are symbol boundaries, an inner range is found by the running sum of
@@ -38,55 +39,81 @@ from pyspark.sql import functions as F
 from .bpe import VOCABULARY, codec
 from .session import ship
 
-SHARD, LEAST, WORTH, BITS = 1 << 20, 4, 100, 21
+SHARD, LEAST, BITS = 1 << 20, 2, 21
 SHARD_SCHEMA = "shard long, doc_ids array<long>, sizes array<int>, symbols array<int>, starts array<int>, base int, left array<int>, right array<int>, lengths array<int>, n_tokens long"
 
 
 def repair(ids: np.ndarray, starts: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, starts of the documents among them, left, right): symbol
     base + k stands for left[k] and right[k]; smaller ones are ids."""
-    seq = ids.astype(np.int64)
-    starts = starts.astype(np.int64)
+    seq, starts = ids.astype(np.int64), starts.astype(np.int64)
     left, right, size = [], [], base
-    while len(seq) > 1:
-        a, b = seq[:-1], seq[1:]
-        inside = np.ones(len(a), bool)
-        edge = starts[1:]
-        edge = edge[(edge > 0) & (edge < len(seq))]
-        inside[edge - 1] = False
-        key = a * size + b
-        slot = (key * np.int64(0x9E3779B97F4A7C1)).view(np.uint64) >> np.uint64(64 - BITS)
-        slot = slot.view(np.int64)
-        table = np.bincount(slot if len(edge) == 0 else slot[inside], minlength=1 << BITS).astype(np.int32)
-        count = np.zeros(len(a) + 2, np.int32)  # one place more on both sides
-        np.take(table, slot, out=count[1:-1])
-        count[1:-1][~inside] = 0
-        mine = count[1:-1]
-        win = (mine >= least) & (mine > count[:-2]) & (mine >= count[2:])
+    # a pair within a document can only win later if it is frequent now, or new
+    open_ = np.ones(max(len(seq) - 1, 0), bool)
+    edge = starts[(starts > 0) & (starts < len(seq))]
+    open_[edge - 1] = False
+    closed = ~open_
+    while True:
+        place = np.flatnonzero(open_)
+        key = seq[place] * size + seq[place + 1]
+        bits = min(BITS, max(8, int(4 * len(key)).bit_length()))
+        slot = ((key * np.int64(0x9E3779B97F4A7C1)).view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
+        count = np.bincount(slot, minlength=1 << bits)[slot]
+        often = count >= least
+        place, key, count = place[often], key[often], count[often]
+        if not len(place):
+            break
+        # the counts of the pairs that overlap a pair on both sides, 0 if none
+        beside = np.r_[place[1:] == place[:-1] + 1, False]
+        after = np.where(beside, np.r_[count[1:], 0], 0)
+        before = np.where(np.r_[False, beside[:-1]], np.r_[0, count[:-1]], 0)
         # runs of equal counts: every second place from the left
-        tie = (mine >= least) & (mine == count[:-2]) & (mine >= count[2:])
-        at = np.flatnonzero(win | tie)
-        lead = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1]) if len(at) else at
+        best = np.flatnonzero((count >= before) & (count >= after))
+        at = place[best]
+        lead = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1)])
         step = np.arange(len(at)) - np.repeat(lead, np.diff(np.append(lead, len(at))))
-        at = at[step % 2 == 0]
-        if len(at):
-            new, which, times = np.unique(key[at], return_inverse=True, return_counts=True)
-            good = times >= least
-            at, which = at[good[which]], (np.cumsum(good) - 1)[which[good[which]]]
-            new = new[good]
+        best = best[step % 2 == 0]
+        new, which, times = np.unique(key[best], return_inverse=True, return_counts=True)
+        good = times >= least
+        at, which = place[best][good[which]], (np.cumsum(good) - 1)[which[good[which]]]
+        new = new[good]
         if not len(at):
-            break
-        before = len(seq)
-        seq = seq.copy()
+            # ties took each other's places: the most frequent pair goes alone
+            new, which, times = np.unique(key, return_inverse=True, return_counts=True)
+            k = int(times.argmax())
+            at = place[which == k]
+            lead = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])
+            step = np.arange(len(at)) - np.repeat(lead, np.diff(np.append(lead, len(at))))
+            at = at[step % 2 == 0]
+            rest = times >= least  # others met in the table only
+            if len(at) < least:  # it overlaps itself
+                rest[k] = False
+            place = place[rest[which]]
+            open_[:] = False
+            open_[place] = True
+            if len(at) < least:
+                continue
+            new, which = new[k : k + 1], np.zeros(len(at), np.int64)
+        else:
+            open_[:] = False
+            open_[place] = True
         seq[at] = size + which
-        keep = np.ones(before, bool)
+        keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         left.append(new // size)
         right.append(new % size)
+        size += len(new)
+        # pairs with a new symbol are open
+        open_[at] = True
+        open_[at[at > 0] - 1] = True
+        closed[at[at + 1 < len(closed)]] = closed[at[at + 1 < len(closed)] + 1]
         gone = np.concatenate([[0], np.cumsum(~keep)])
-        seq, starts, size = seq[keep], starts - gone[starts], size + len(new)
-        if len(at) * WORTH < before:
-            break
+        tail = at[at + 1 == len(seq) - 1]  # the last symbol has no pair after it
+        seq, starts = seq[keep], starts - gone[starts]
+        inner = keep[:-1].copy()
+        inner[tail] = False
+        open_, closed = open_[inner], closed[inner]
+        open_ &= ~closed
     join = lambda x: np.concatenate(x or [np.zeros(0)]).astype(np.int32)
     return seq.astype(np.int32), starts.astype(np.int32), join(left), join(right)
 
