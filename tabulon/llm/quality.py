@@ -92,8 +92,10 @@ def _bags(column: pa.Array, passage: int):
         cols.append(1 - _new(where, h, len(lo)) / words)
         whole = np.repeat(np.arange(len(n)), n)
         cols.append(1 - (_new(whole, h, len(n)) / np.maximum(n, 1))[doc])
-        pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
-        cols.append(1 - _new(where[:-1], pair, len(lo)) / np.maximum(words - 1, 1))
+        # neighbours within a passage, so no feature depends on other documents
+        inner = where[1:] == where[:-1]
+        pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[inner]
+        cols.append(1 - _new(where[1:][inner], pair, len(lo)) / np.maximum(words - 1, 1))
         # hashed shapes: first and last class, which classes occur, length
         seen = np.zeros(len(start), np.uint64)
         for k, s in enumerate(sums):
