@@ -138,6 +138,17 @@ def test_repeats_are_all_windows_that_occurred_before(spark, corpus, find):
             assert tokens[r["doc_id"]][r["start_word"] : r["end_word"]] == tokens[r["first_id"]][r["first_word"] : r["first_word"] + n]
 
 
+def test_passages_of_any_length_are_found(spark):
+    """Longer than 81 words, copies of long documents, and equal ends."""
+    r = random.Random(21)
+    long = words(r, 400)
+    rows = [(0, long, "s"), (1, long, "s"), (2, words(r, 30) + " " + long, "s"), (3, " ".join(long.split()[150:]), "s"), (4, long + " " + long, "s"), (5, words(r, 300), "s")]
+    for least in (50, 120):
+        want, tokens = brute_repeats(rows, least)
+        got = suffix.repeated_passages(table(spark, rows), least=least, gram=25).collect()
+        assert covered([(x["doc_id"], x["start_word"], x["end_word"]) for x in got], tokens) == want
+
+
 def test_repeats_are_cut(spark, corpus):
     want, tokens = brute_repeats(corpus, 8)
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in suffix.remove_repeats(table(spark, corpus), least=8, gram=4).collect()}
@@ -219,6 +230,55 @@ def test_grammar_round_trip_and_random_access(spark, corpus):
     assert (s.document(2) == flat[100:4000]).all() and len(s.document(1)) == 0
 
 
+def plain_repair(docs, base):
+    """Re-Pair as published: the most frequent pair, one at a time."""
+    rules = 0
+    while True:
+        count = {}
+        for d in docs:
+            last = {}
+            for i, pair in enumerate(zip(d, d[1:])):
+                if last.get(pair) != i - 1:
+                    count[pair] = count.get(pair, 0) + 1
+                    last[pair] = i
+        best = max(count.items(), key=lambda x: x[1], default=(None, 0))
+        if best[1] < 2:
+            return sum(map(len, docs)), rules
+        out = []
+        for d in docs:
+            new, i = [], 0
+            while i < len(d):
+                hit = tuple(d[i : i + 2]) == best[0]
+                new.append(base + rules if hit else d[i])
+                i += 1 + hit
+            out.append(new)
+        docs, rules = out, rules + 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_grammar_ends_as_plain_repair_does(seed):
+    """No pair occurs twice within documents, and the grammar is about as small
+    as that of the one-pair-at-a-time algorithm."""
+    r = random.Random(seed)
+    shared = [r.randrange(9) for _ in range(40)]
+    docs = [[r.randrange(9) for _ in range(r.randrange(60))] + shared * r.randrange(3) for _ in range(20)] + [[3] * 33, [], [1]]
+    flat = np.array([x for d in docs for x in d], np.int32)
+    starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]])
+    symbols, at, left, right = grammar.repair(flat, starts, 9)
+    lengths = grammar.lengths(9, left, right)
+    s = grammar.Shard({"base": 9, "symbols": symbols, "starts": at, "left": left, "right": right, "lengths": lengths, "doc_ids": [0] * len(docs), "sizes": [len(d) for d in docs]})
+    assert [s.document(k).tolist() for k in range(len(docs))] == docs
+    seen = {}
+    for a, z in zip(at, np.append(at[1:], len(symbols))):
+        d = symbols[a:z].tolist()
+        for i, pair in enumerate(zip(d, d[1:])):
+            seen.setdefault(pair, []).append((a, i))
+    for pair, where in seen.items():
+        assert len(where) == 1 or pair[0] == pair[1] and len(where) == 2 and where[0][1] + 1 == where[1][1]
+    symbols_, rules_ = plain_repair(docs, 9)
+    assert len(symbols) + 2 * len(left) <= 1.15 * (symbols_ + 2 * rules_)
+
+
 # ---- contamination ----------------------------------------------------------
 
 
@@ -287,6 +347,42 @@ def test_quality_on_held_out_labels(held_out):
     assert np.mean([a == b for a, b in got]) > 0.9
 
 
+def test_quality_scores_depend_on_the_document_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()] + ["one", "", None, "one two", "a a a a a " * 40]
+    r = random.Random(3)
+    r.shuffle(texts)
+    score = lambda t: np.concatenate([model.score(x, o) for _, x, o in quality._bags(pa.array(t, pa.string()), quality.PASSAGE)])
+    assert np.allclose(score(texts), np.concatenate([score([t]) for t in texts]), atol=1e-5)
+
+
+def test_quality_features_and_attention():
+    """Some features counted in plain Python, and attention and score by the
+    formulas, passage by passage."""
+    texts = ["Ab cd, EF 12 ab cd, ab cd,", "one", "x y x y " * 20, "été!! à 3"]
+    _, x, offs = next(quality._bags(pa.array(texts), 4))
+    row = 0
+    for t in texts:
+        w = t.split()
+        for lo in range(0, len(w), 4):
+            part = w[lo : lo + 4]
+            sizes = [len(v.encode()) for v in part]
+            pairs = list(zip(part, part[1:]))
+            want = [np.mean(sizes) / 10, np.std(sizes) / 10, np.log1p(len(part)) / 5]
+            assert np.allclose(x[row, 8:11], want, atol=1e-4)
+            assert np.allclose(x[row, 15:18], [1 - len(set(part)) / len(part), 1 - len(set(w)) / len(w), 1 - len(set(pairs)) / max(len(part) - 1, 1)], atol=1e-5)
+            row += 1
+    assert row == len(x) == offs[-1]
+    m = quality.Model(x.mean(0), x.std(0) + 0.02)
+    p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    for d in range(len(texts)):
+        h = [np.tanh(np.clip((v - m.mean) / m.scale, -6, 6) @ p["W"]) for v in x[offs[d] : offs[d + 1]].astype(np.float64)]
+        e = np.exp([np.tanh(v @ p["V"]) * (1 / (1 + np.exp(-(v @ p["U"])))) @ p["w"] for v in h])
+        z = sum(a * v for a, v in zip(e / e.sum(), h))
+        assert abs(m.score(x, offs)[d] - 1 / (1 + np.exp(-(z @ p["c"] + p["b"][0])))) < 1e-4
+
+
 def test_toxicity_on_held_out_labels(held_out):
     """All toxic labels count, by language; some of them are wrong (documents
     of repeated clean words), so English doesn't reach 1 either."""
