@@ -349,7 +349,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def _sql(name: str, text: str, oracle: str | None) -> None:
-    QUERIES[name] = lambda spark, sf: spark.sql(text.format(**{t: f"parquet.`{sf}/{t}.parquet`" for t in TABLES}))
+    used = [t for t in TABLES if "{" + t + "}" in text]
+    QUERIES[name] = lambda spark, sf: S.query(spark, text.format(**{t: f"table{k}" for k, t in enumerate(used, 1)}), *(load(spark, sf, t) for t in used))
     ORACLE[name] = oracle or text.format(**{t: t for t in TABLES})
 
 
@@ -362,6 +363,19 @@ def sql_dialect(spark, sf):
     return S.query(spark, """SELECT "p_size" / 7 AS q, count(*) AS n, total(iif(p_size > 100, p_retailprice, NULL)) AS t FROM table1 WHERE p_name LIKE '%A%' GROUP BY 1""", load(spark, sf, "part").withColumn("p_size", F.col("p_size").cast("bigint")))
 
 
+def _sqlite(name: str, table: str, text: str, oracle: str) -> None:
+    QUERIES[name] = lambda spark, sf: S.query(spark, text, load(spark, sf, table))
+    ORACLE[name] = oracle
+
+
+_sqlite("sql_glob", "part", "SELECT p_partkey, p_brand GLOB '*#[1-3]?' AS low, p_name GLOB '[^a-m]*' AS late FROM table1", "SELECT p_partkey, p_brand GLOB '*#[1-3]?' AS low, regexp_full_match(p_name, '[^a-m].*') AS late FROM part")
+_sqlite("sql_group_concat", "nation", "SELECT n_regionkey, length(group_concat(n_name)) AS n, length(group_concat(n_name, '--')) AS m FROM table1 GROUP BY n_regionkey", "SELECT n_regionkey, CAST(length(string_agg(n_name, ',')) AS INTEGER) AS n, CAST(length(string_agg(n_name, '--')) AS INTEGER) AS m FROM nation GROUP BY n_regionkey")
+_sqlite("sql_int_division", "part", "SELECT p_partkey, (p_partkey) / (2) AS a, p_partkey * 3 / 7 AS b, p_retailprice * 3 / 2 AS c, -p_partkey / 4 AS d, 7 / 2.0e0 AS e FROM table1", "SELECT p_partkey, CAST(p_partkey // 2 AS BIGINT) AS a, CAST(p_partkey * 3 // 7 AS BIGINT) AS b, p_retailprice * 3 / 2 AS c, CAST(-(p_partkey // 4) AS BIGINT) AS d, 3.5::DOUBLE AS e FROM part")
+_sqlite("sql_zero_division", "customer", "SELECT c_nationkey, count(*) / 2 AS half, sum(c_acctbal) / 0 AS nothing, max(c_custkey) % 0 AS none_left, 1 / (c_nationkey - c_nationkey) AS x FROM table1 GROUP BY c_nationkey", "SELECT c_nationkey, CAST(count(*) // 2 AS BIGINT) AS half, NULL::DOUBLE AS nothing, NULL::BIGINT AS none_left, NULL::BIGINT AS x FROM customer GROUP BY c_nationkey")
+_sqlite("sql_strftime", "orders", "SELECT o_orderkey, strftime('%Y week day %w, %j', o_orderdate) AS a, date(o_orderdate, 'start of month', '+1 month', '-1 day') AS b, CAST(round(julianday(o_orderdate) - julianday('2000-01-01')) AS BIGINT) AS c FROM table1", "SELECT o_orderkey, strftime(o_orderdate, '%Y week day %w, %j') AS a, strftime(last_day(o_orderdate), '%Y-%m-%d') AS b, CAST(date_diff('day', DATE '2000-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS c FROM orders")
+_sqlite("sql_literal_names", "region", """SELECT "r_name", 'from table1' AS t, "no such column" AS u, 'it''s table1, "x"' AS v FROM table1 WHERE "r_name" LIKE '%a%'""", "SELECT r_name, 'from table1' AS t, 'no such column' AS u, 'it''s table1, \"x\"' AS v FROM region WHERE r_name ILIKE '%a%'")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'O'")
 def sql_arguments(spark, sf):
     return S.query(spark, "SELECT o_orderkey FROM table1 WHERE o_totalprice > ? AND o_orderstatus = ?", load(spark, sf, "orders"), args=[100000, "O"])
