@@ -47,11 +47,12 @@ def stripped(c: Column) -> Column:
 
 
 def is_null(c: Column) -> Column:
-    return c.isNull() | F.lower(stripped(c)).isin(*NULLS)
+    return c.isNull() | c.rlike(rf"(?i)^\s*(?:{'|'.join(NULLS)})\s*$")
 
 
 def _guarded(c: Column, pattern: str, value: Column) -> Column:
-    return F.when(~is_null(c) & c.rlike(pattern), value)
+    """No pattern fits a null token, so these are null as well."""
+    return F.when(c.rlike(pattern), value)
 
 
 def parse_bool(c: Column) -> Column:
