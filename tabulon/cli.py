@@ -13,6 +13,18 @@ from .plans import schema, sql
 from .sources import database, files, read, sheets, write
 
 
+def parse_options(options: list[str] | None) -> dict[str, str | int | bool]:
+    """["name=value", ...] by their first "="; whole numbers, true and false
+    become values."""
+    out = {}
+    for o in options or []:
+        name, mark, value = o.partition("=")
+        if not mark:
+            raise ValueError(f"Option {o!r} has no '='")
+        out[name.strip()] = int(value) if value.lstrip("-").isdigit() else {"true": True, "false": False}.get(value.lower(), value)
+    return out
+
+
 def _arguments(argv):
     p = argparse.ArgumentParser(prog="tabulon")
     sub = p.add_subparsers(dest="command", required=True)
@@ -24,13 +36,15 @@ def _arguments(argv):
         for k, v in options.items():
             c.add_argument("--" + k.replace("_", "-"), **v)
 
-    out = {"order_by": {}, "fields": {}, "fields_exclude": {}}
+    several = {"action": "append", "metavar": "NAME=VALUE"}
+    into = {"input_encoding": {}, "samples": {"type": int}, "table_index": {"type": int}, "input_option": several}
+    out = {"order_by": {}, "fields": {}, "fields_exclude": {}, "output_option": several, **into}
     command("convert", "source", "target", **out)
     command("join", "keys", "sources", "target", **out)
     command("sum", "sources", "target", **out)
     command("print", "source", frame_style={"default": "ascii"}, **out)
     command("query", "sql", "sources", output={}, frame_style={"default": "ascii"}, **out)
-    command("schema", "source", "target", format={"default": "txt"}, detect_all_types={"action": "store_true"})
+    command("schema", "source", "target", **into, format={"default": "txt"}, detect_all_types={"action": "store_true"})
     command("csv-inspect", "source")
     command("csv-fix", "source", "target")
     command("csv-merge", "sources", "target")
@@ -54,6 +68,12 @@ def _shaped(df, a):
     return T.exclude(df, a.fields_exclude.split(",")) if a.fields_exclude else df
 
 
+def _reading(a) -> dict:
+    """Options for the readers."""
+    out = parse_options(a.input_option)
+    return out | {k: v for k, v in (("encoding", a.input_encoding), ("samples", a.samples), ("index", a.table_index)) if v is not None}
+
+
 def main(argv=None) -> int:
     a = _arguments(argv)
     if a.command == "csv-inspect":
@@ -75,19 +95,21 @@ def main(argv=None) -> int:
 
 def _run(spark, a) -> int:
     raw = lambda p: files.read_csv(spark, p, infer=False)
+    get = lambda p, **how: read(spark, p, **how, **_reading(a))
+    put = lambda df, p: write(df, p, **parse_options(a.output_option))
     if a.command == "convert":
-        write(_shaped(read(spark, a.source), a), a.target)
+        put(_shaped(get(a.source), a), a.target)
     elif a.command == "join":
-        write(_shaped(T.merge_join(a.keys.split(","), [read(spark, s) for s in a.sources]), a), a.target)
+        put(_shaped(T.merge_join(a.keys.split(","), [get(s) for s in a.sources]), a), a.target)
     elif a.command == "sum":
-        write(_shaped(T.append(*(read(spark, s) for s in a.sources)), a), a.target)
+        put(_shaped(T.append(*(get(s) for s in a.sources)), a), a.target)
     elif a.command == "print":
-        print(files.to_txt(_shaped(read(spark, a.source), a), a.frame_style), end="")
+        print(files.to_txt(_shaped(get(a.source), a), a.frame_style), end="")
     elif a.command == "query":
-        df = _shaped(sql.query(spark, a.sql, *(read(spark, s) for s in a.sources)), a)
-        write(df, a.output) if a.output else print(files.to_txt(df, a.frame_style), end="")
+        df = _shaped(sql.query(spark, a.sql, *(get(s) for s in a.sources)), a)
+        put(df, a.output) if a.output else print(files.to_txt(df, a.frame_style), end="")
     elif a.command == "schema":
-        df = read(spark, a.source, **({"candidates": ALL} if a.detect_all_types else {}))
+        df = get(a.source, **({"candidates": ALL} if a.detect_all_types else {}))
         with open(a.target, "w", encoding="utf-8") as f:
             f.write(schema.describe(df, a.format))
     elif a.command == "csv-merge":

@@ -12,6 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def today() -> Column:
+    return F.current_date()
+
+
 def _leap(year: Column) -> Column:
     return ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
 

@@ -21,3 +21,8 @@ def intervals(text: Column, repeat: bool = False, ordered: bool = True) -> Colum
     out = F.flatten(F.transform(parts, lambda x: F.when(x.contains("-"), F.sequence(ends(x, 0), ends(x, 1))).otherwise(F.array(x.try_cast("int")))))
     out = out if repeat else F.array_distinct(out)
     return F.array_sort(out) if ordered else out
+
+
+def items(values: Column, *places: int) -> Column:
+    """The values at the places (from 0) of an array; null beyond its end."""
+    return F.array(*(F.get(values, F.lit(k)) for k in places))

@@ -20,7 +20,7 @@ from ..functions import types as Y
 from ..operators import geometry, infer
 from ..operators import table as T
 from ..shipping import ship
-from ..sources import database, files, markup, sheets
+from ..sources import database, files, markup, read, sheets
 from ..streaming import events as stream
 from . import sql as S
 
@@ -47,6 +47,8 @@ def folder(spark: SparkSession) -> str:
     """A new place for files that all executors can read."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tabulon-")
         atexit.register(shutil.rmtree, at, True)
     at = os.path.join(files.local(at), uuid.uuid4().hex)
@@ -393,6 +395,32 @@ def csv_roundtrip(spark, sf):
     return files.read_csv(spark, at)
 
 
+@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, p_retailprice FROM part")
+def csv_folder_roundtrip(spark, sf):
+    at = f"{folder(spark)}/parts"
+    files.write_csv(load(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice").repartition(3), at)
+    return files.read_csv(spark, at)
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name || chr(10) || p_brand AS t FROM part")
+def csv_lines_in_quotes(spark, sf):
+    at = f"{folder(spark)}/parts"
+    files.write_csv(load(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit("\n"), "p_brand").alias("t")).repartition(2), at, quoteAll=True)
+    return files.read_csv(spark, at)
+
+
+@query(_NATION)
+def json_lines_roundtrip(spark, sf):
+    at = f"{folder(spark)}/nation.jsonl"
+    files.write_json_lines(load(spark, sf, "nation"), at)
+    return read(spark, at)
+
+
+@query("SELECT n_nationkey, n_name, [n_name, NULL] AS two FROM nation")
+def array_items(spark, sf):
+    return load(spark, sf, "nation").select("n_nationkey", "n_name", numbers.items(F.array("n_name"), 0, 5).alias("two"))
+
+
 def _roundtrip(name: str, suffix: str, writer, reader) -> None:
     def run(spark, sf):
         at = f"{folder(spark)}/nation.{suffix}"

@@ -10,8 +10,23 @@ from ..shipping import ship
 from . import database, files, markup, sheets
 
 MAGIC = ((b"PAR1", "parquet"), (b"SQLite format 3", "sqlite"), (b"%PDF", "pdf"), (b"\xd0\xcf\x11\xe0", "xls"))
-SUFFIX = {".csv": "csv", ".tsv": "csv", ".txt": "txt", ".json": "json", ".html": "html", ".htm": "html", ".parquet": "parquet", ".sqlite": "sqlite", ".db": "sqlite", ".xlsx": "xlsx", ".ods": "ods", ".xls": "xls", ".pdf": "pdf", ".xml": "xpath"}
-READERS = {"csv": files.read_csv, "txt": files.read_txt, "json": files.read_json, "html": markup.read_html, "xpath": markup.read_xpath, "sqlite": database.read_sqlite, "xlsx": sheets.read_sheet, "ods": sheets.read_sheet}
+SUFFIX = {".csv": "csv", ".tsv": "csv", ".txt": "txt", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".html": "html", ".htm": "html", ".parquet": "parquet", ".sqlite": "sqlite", ".db": "sqlite", ".xlsx": "xlsx", ".ods": "ods", ".xls": "xls", ".pdf": "pdf", ".xml": "xpath"}
+READERS = {"csv": files.read_csv, "txt": files.read_txt, "json": files.read_json, "jsonl": files.read_json_lines, "html": markup.read_html, "xpath": markup.read_xpath, "sqlite": database.read_sqlite, "xlsx": sheets.read_sheet, "ods": sheets.read_sheet}
+
+WRITERS = {"csv": files.write_csv_file, "json": files.write_json_file, "jsonl": files.write_json_lines, "sqlite": database.write_sqlite, "xlsx": sheets.write_xlsx, "jdbc": database.write_jdbc}
+
+
+def register(kind: str, reader=None, writer=None, suffixes: tuple[str, ...] = (), magic: tuple[bytes, ...] = ()) -> None:
+    """A format of one's own: reader(spark, path, **options) returns a
+    DataFrame, writer(df, path, **options) writes one; files with a suffix or
+    first bytes are taken for it."""
+    global MAGIC
+    if reader is not None:
+        READERS[kind] = reader
+    if writer is not None:
+        WRITERS[kind] = writer
+    SUFFIX.update({s.lower(): kind for s in suffixes})
+    MAGIC += tuple((m, kind) for m in magic)
 
 
 def kind_of(path: str) -> str:
@@ -51,4 +66,6 @@ def write(df: DataFrame, path: str, kind: str | None = None, **options) -> None:
     elif kind == "parquet":
         df.write.mode("overwrite").parquet(path)
     else:
-        {"csv": files.write_csv_file, "json": files.write_json_file, "sqlite": database.write_sqlite, "xlsx": sheets.write_xlsx, "jdbc": database.write_jdbc}[kind](df, path, **options)
+        if kind not in WRITERS:
+            raise ValueError(f"{kind}: there is no writer for this format")
+        WRITERS[kind](df, path, **options)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import bz2
 import csv
 import gzip
+import io
 import json
 import lzma
 from collections.abc import Iterable, Iterator
@@ -40,11 +41,38 @@ def open_any(path: str, mode: str = "rb", **how):
     return OPENERS.get(Path(local(path)).suffix.lower(), open)(local(path), mode, **how)
 
 
-def head_bytes(path: str, size: int = SAMPLE) -> bytes:
-    with open_any(path) as f:
+def head_bytes(path: str, size: int = SAMPLE, spark: SparkSession | None = None) -> bytes:
+    """The first bytes of a file, or of the first data file of a folder; other
+    file systems than the local one are read through ``spark``."""
+    at = Path(local(path))
+    if at.is_dir():
+        at = next((f for f in sorted(at.rglob("*")) if f.is_file() and f.stat().st_size and not any(x.startswith(("_", ".")) for x in f.relative_to(at).parts)), None)
+        if at is None:
+            return b""
+    elif not at.exists() and spark is not None:
+        return _remote_head(spark, path, size)
+    with open_any(str(at)) as f:
         return f.read(size)
 
 
+def _remote_head(spark: SparkSession, path: str, size: int) -> bytes:
+    sc = spark.sparkContext
+    hadoop, conf = sc._jvm.org.apache.hadoop, sc._jsc.hadoopConfiguration()
+    fs = hadoop.fs.Path(path).getFileSystem(conf)
+    found = sorted((s for s in fs.globStatus(hadoop.fs.Path(path)) or []), key=lambda s: s.getPath().toString())
+    while found and found[0].isDirectory():
+        found = sorted((s for s in fs.listStatus(found[0].getPath()) if not s.getPath().getName().startswith(("_", ".")) and (s.isDirectory() or s.getLen())), key=lambda s: s.getPath().toString())
+    if not found:
+        raise FileNotFoundError(path)
+    f = fs.open(found[0].getPath())
+    try:
+        data = bytes(f.readNBytes(size))
+    finally:
+        f.close()
+    suffix = Path(found[0].getPath().getName()).suffix.lower()
+    return OPENERS[suffix](io.BytesIO(data)).read(size) if suffix in OPENERS and len(data) < size else data
+
+
 def sniff(sample: bytes, encoding: str = "utf-8", delimiters: Iterable[str] = ",;\t|"):
     """Dialect of a sample; a character that is cut off at its end is left out."""
     text = sample.decode(encoding, "ignore")
@@ -59,8 +87,8 @@ def sniff(sample: bytes, encoding: str = "utf-8", delimiters: Iterable[str] = ",
     return d
 
 
-def _raw(path: str, encoding: str, dialect) -> tuple[list[str], object]:
-    sample = head_bytes(path)
+def _raw(path: str, encoding: str, dialect, spark: SparkSession | None = None) -> tuple[list[str], object]:
+    sample = head_bytes(path, spark=spark)
     dialect = csv.get_dialect(dialect) if isinstance(dialect, str) else dialect or sniff(sample, encoding)
     names = next(csv.reader(sample.decode(encoding, "ignore").replace("\0", "").splitlines(True), dialect), [])
     return names, dialect
@@ -71,10 +99,13 @@ def inspect(path: str, encoding: str = "utf-8", dialect=None) -> dict:
     return {"encoding": encoding, "delimiter": d.delimiter, "quotechar": d.quotechar, "field_names": names}
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", dialect=None, types: dict[str, str] | None = None, infer: bool = True, strict: bool = True, fields: list[str] | None = None, max_rows: int | None = None, **how) -> DataFrame:
-    """Header in the first record, records may span lines.  An empty cell is an
-    empty text; a cell that a short row lacks is null."""
-    names, d = _raw(path, encoding, dialect)
+def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", dialect=None, types: dict[str, str] | None = None, infer: bool = True, strict: bool = True, fields: list[str] | None = None, max_rows: int | None = None, multiline: bool | None = None, **how) -> DataFrame:
+    """A file, a folder of files or a pattern, on any file system that Spark
+    knows.  Header in the first record of each file.  An empty cell is an empty
+    text; a cell that a short row lacks is null.  Records may span lines; such
+    files can't be split, so without ``multiline`` the lines with an odd number
+    of quotes are looked for first, in parallel: without any, files are split."""
+    names, d = _raw(path, encoding, dialect, spark)
     columns = header(names)
     if Path(path).suffix == ".xz":  # Spark doesn't know it: one task a file
 
@@ -87,9 +118,11 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", dialect=No
 
         df = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, ", ".join(f"`{c}` string" for c in columns))
     else:
+        if multiline is None:
+            multiline = _spans_lines(spark, path, encoding, d.quotechar or '"')
         df = (
             spark.read.schema(", ".join(f"`{c}` string" for c in columns))
-            .options(header=True, sep=d.delimiter, quote=d.quotechar or '"', escape=d.escapechar or '"', multiLine=True, encoding=encoding, nullValue="\0", emptyValue="", enforceSchema=True, mode="PERMISSIVE")
+            .options(header=True, sep=d.delimiter, quote=d.quotechar or '"', escape=d.escapechar or '"', multiLine=multiline, encoding=encoding, nullValue="\0", emptyValue="", enforceSchema=True, mode="PERMISSIVE")
             .csv(path)
         )
     df = df.select(*(F.coalesce(F.replace(F.col(c), F.lit("\0"), F.lit("")), F.lit("")).alias(c) for c in columns))
@@ -98,6 +131,16 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", dialect=No
     return typed(df, types, strict, **how) if infer else df
 
 
+def _spans_lines(spark: SparkSession, path: str, encoding: str, quote: str) -> bool:
+    """Whether a record goes on in the next line: some line has an odd number
+    of quotes, or lone line ends of another kind."""
+    if encoding.lower().replace("-", "") not in ("utf8", "ascii", "usascii", "latin1", "iso88591", "windows1252", "cp1252"):
+        return True
+    value = F.col("value")
+    odd = (F.length(value) - F.length(F.replace(value, F.lit(quote), F.lit("")))) % 2 == 1
+    return not spark.read.text(path).where(odd).limit(1).isEmpty()
+
+
 def write_csv(df: DataFrame, path: str, **options) -> None:
     """A folder of parts, written in parallel."""
     shown(df).write.mode("overwrite").options(**{"header": True, "escape": '"', "emptyValue": "", "nullValue": "", **options}).csv(path)
@@ -236,6 +279,15 @@ def read_json(spark: SparkSession, path: str, encoding: str = "utf-8", infer: bo
     return typed(df, **how) if infer else df
 
 
+def read_json_lines(spark: SparkSession, path: str, encoding: str = "utf-8", infer: bool = True, **how) -> DataFrame:
+    """One object a line, in one file or many; columns in the order of their
+    names, as lines have none among files.  Lines are read in parallel."""
+    rows = spark.read.option("encoding", encoding).text(path).where(F.trim("value") != "").select(F.from_json("value", "map<string,string>").alias("m"))
+    keys = sorted(r["name"] for r in rows.select(F.explode(F.map_keys("m")).alias("name")).distinct().collect())  # they become columns
+    df = rows.select(*(F.col("m")[k].alias(c) for k, c in zip(keys, header(keys))))
+    return typed(df, **how) if infer else df
+
+
 def native_json(df: DataFrame) -> DataFrame:
     """One object a row as text: numbers, booleans and JSON as they are, other
     values as the text of their field."""
