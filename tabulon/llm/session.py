@@ -53,6 +53,12 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         ship(spark)
         self.spark, self.base = spark, f"{shared(spark)}/scratch-{uuid.uuid4().hex}"
+        atexit.register(self.remove)  # results are read by the caller, so they go last
+
+    def remove(self) -> None:
+        """Delete all tables, unless the session has ended."""
+        if self.spark.sparkContext._jsc is not None:
+            self.delete(self.base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -64,12 +70,15 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads, and let the JVM release the
         shuffle files of finished jobs."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self.delete(self.path(name))
         gc.collect()
-        jvm.System.gc()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def delete(self, at: str) -> None:
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(at)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def parallel(spark: SparkSession, df: DataFrame, floor: int = 1) -> int:
