@@ -16,7 +16,8 @@ documents hold it in one unit (or in two, three, five: stems are in clean words
 by chance, but seldom in several of a document) than chance explains (Fisher's
 exact test at a false discovery rate of ``CHANCE``, Benjamini and Hochberg,
 1995).  They are taken in order of evidence, each on the words that no earlier
-one is in, and made longer while the longer run is in as many toxic documents.  Copies of a document count once.  As many landmarks again, or
+one is in, and made longer while the longer run is in half as many toxic
+documents.  Copies of a document count once.  As many landmarks again, or
 more, are ordinary units.
 
 *Training*: the examples are the sentences of labelled documents.  They inherit
@@ -31,7 +32,8 @@ teach the gaps.  The hinge loss is minimised by averaged subgradient steps.
 hits of a document are held against the rate of clean documents (the tail of a
 Poisson distribution); a document is toxic if the evidence of one landmark, or
 of all together, is beyond what all but ``MISTAKES`` of the clean ones have.
-The sentences of toxic documents that have a hit are returned.
+The sentences of toxic documents that have a hit of such a landmark are
+returned.
 
 Scale: training sees at most ``SAMPLE`` labelled documents of each kind, those
 with the least hashes.  Scoring is one pass without a shuffle over every word,
@@ -222,14 +224,14 @@ class Machine:
                 out[part[high]] = total[high] / self.scale(points[where[:, high]].T)
         return out + self.bias
 
-    def evidence(self, hits: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def shares(self, hits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of documents with ``hits`` (documents x telling landmarks) among
-        ``size`` units: the evidence of the strongest landmark as a share of
-        what it needs, or that of all together if it is more."""
+        ``size`` units: the evidence of each landmark as a share of what it
+        needs; and that of the strongest, or of all together if it is more."""
         share = np.zeros((len(hits), self.telling))
         for d, f in zip(*np.nonzero(hits)):
             share[d, f] = _tail(int(hits[d, f]), float(self.rate[f] * size[d])) / self.least[f]
-        return np.maximum(share.max(1, initial=0), share.sum(1) / self.together)
+        return share, np.maximum(share.max(1, initial=0), share.sum(1) / self.together)
 
 
 def _tail(n: int, mean: float) -> float:
@@ -460,32 +462,37 @@ def _telling(s: _Sample) -> tuple[list[np.ndarray], np.ndarray]:
         return [], covered
     got = np.array([count(w) for w in words])
     chance = _by_chance(got[:, 0].ravel(), got[:, 1].ravel(), t, c).reshape(len(cands), -1)
-    least = np.sort(chance.min(1)) + math.log(len(FORMS))
-    passed = np.flatnonzero(least <= np.log(CHANCE * np.arange(1, len(least) + 1) / len(least)))
-    if not len(passed):
-        return [], covered
-    bar = least[passed[-1]] - math.log(len(FORMS))
+    # runs that are in the same units are one test
+    tests = len({w.tobytes() for w in words}) * len(FORMS)
     text = ["".join(map(chr, s.points[p : p + n])) for n, _, _, p, _ in cands]
-    found: list[np.ndarray] = []
-    sure = np.flatnonzero(chance.min(1) <= bar)
+    found: list[tuple[float, np.ndarray, np.ndarray]] = []
+    sure = np.flatnonzero(chance.min(1) <= math.log(CHANCE))
     order = sorted(sure.tolist(), key=lambda k: (chance[k].min(), -len(text[k]), text[k]))
     for k in order:
         if not (~covered[words[k]]).any():
             continue
-        # a shorter run of nearly the same evidence that more documents have
-        within = [x for x in order if text[x] in text[k] and chance[x].min() <= 0.75 * chance[k].min()]
-        k = max(within, key=lambda x: (got[x, 0, chance[x].argmin()], len(text[x]), text[x]))
+        # a shorter run of nearly the same evidence that more toxic documents
+        # have, and no more clean ones
+        seen = lambda x: got[x, :, chance[x].argmin()]
+        within = [x for x in order if text[x] in text[k] and chance[x].min() <= 0.75 * chance[k].min() and seen(x)[1] <= seen(k)[1] and len(text[x]) > max(4, len(text[k]) - 3)] + [k]
+        k = max(within, key=lambda x: (seen(x)[0], len(text[x]), text[x]))
         left = words[k][~covered[words[k]]]
         hit = got[k] if len(left) == len(words[k]) else count(left)
         each = _by_chance(hit[0], hit[1], t, c)
         m = int(each.argmin())
-        if each[m] > bar:
+        if each[m] > math.log(CHANCE):
             continue
         covered[left] = True
-        longer = [x for x in order if text[k] in text[x] and got[x, 0, m] >= 0.9 * hit[0, m]]
+        longer = [x for x in order if text[k] in text[x] and got[x, 0, m] >= 0.5 * hit[0, m]]
         best = max(longer, key=lambda x: (len(text[x]), got[x, 0, m], text[x]), default=k)
-        found.append(_points(text[best if len(text[best]) > len(text[k]) else k]))
-    return found, covered
+        found.append((float(each[m]), _points(text[best if len(text[best]) > len(text[k]) else k]), left))
+    found.sort(key=lambda x: x[0])
+    passed = [j for j, (p, _, _) in enumerate(found, 1) if p <= math.log(CHANCE * j / tests)]
+    found = found[: passed[-1] if passed else 0]
+    covered[:] = False
+    for _, _, left in found:
+        covered[left] = True
+    return [r for _, r, _ in found], covered
 
 
 def _bent(runs: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -567,7 +574,7 @@ def _calibrate(machine: Machine, s: _Sample, value: np.ndarray, has: np.ndarray,
         level = value[s.unit[rows]]
         best = (-1, 0)
         whole = value[(near == f) & has]
-        bars = [floor[f] - 0.5, floor[f], *([floor[f] / 2 + whole.max() / 2, *np.quantile(whole, (0.05, 0.1, 0.25, 0.5, 0.75), method="lower") - 1e-4] if len(whole) else [])]
+        bars = [floor[f], *([floor[f] / 2 + whole.max() / 2, *np.quantile(whole, (0.05, 0.1, 0.25, 0.5, 0.75), method="lower") - 1e-4] if len(whole) else [])]
         for bar in sorted(bars, reverse=True):
             x = np.bincount(s.doc[rows[level >= bar]], minlength=len(s.toxic))
             rate = (x[clean].sum() + 0.5) / max(1, words)
@@ -578,10 +585,10 @@ def _calibrate(machine: Machine, s: _Sample, value: np.ndarray, has: np.ndarray,
                 best = found
                 hits[:, f], machine.bar[f], machine.rate[f], machine.least[f] = x, bar, rate, least
     machine.together = 1e9
-    share = machine.evidence(hits[clean], s.sizes[clean])
+    _, share = machine.shares(hits[clean], s.sizes[clean])
     machine.least *= max(1.0, float(np.quantile(share, 1 - MISTAKES, method="higher")) + 1e-6)
     machine.together = 1.0
-    share = machine.evidence(hits[clean], s.sizes[clean])
+    _, share = machine.shares(hits[clean], s.sizes[clean])
     machine.together = max(1.0, float(np.quantile(share, 1 - MISTAKES, method="higher")) + 1e-6)
 
 
@@ -650,8 +657,11 @@ def _flag(machine: Machine):
                 some[docs] = True
                 some = some[u.doc]
                 size = np.bincount(np.unique(u.doc[some].astype(np.int64) * len(one) + back[some]) // len(one), minlength=int(docs[-1]) + 1)[docs]
-                toxic = machine.evidence(hits, size) >= 1
-                hit = hit[toxic[row]]
+                share, most = machine.shares(hits, size)
+                # hits of landmarks that tell by themselves; of all, where only all together tell
+                alone = share >= 1
+                alone[(most >= 1) & ~alone.any(1)] = True
+                hit = hit[alone[row, near[back[hit]]]]
                 if not len(hit):
                     continue
                 order = hit[np.lexsort((-value[back[hit]], u.sentence[hit], u.doc[hit]))]
