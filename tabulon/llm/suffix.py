@@ -453,26 +453,34 @@ def _report(least: int):
 
 
 def _originals(t: pa.Table) -> pa.Table:
-    """The document and word of each original."""
+    """The document of each original; rows of one document and one original
+    that touch become one."""
     rows = t.select(["bucket", "lens", "nths", "starts"]).filter(t["lens"].is_valid()).to_pylist()
     own = {r["bucket"]: r for r in rows}
     hits = t.filter(t["lens"].is_null())
     bucket, place = hits["bucket"].to_numpy(), hits["place"].to_numpy()
-    first, word = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
+    first = np.zeros(len(bucket), np.int64)
     for k in np.unique(bucket):
         mine = bucket == k
-        first[mine], word[mine] = _where(own[int(k)], place[mine])
-    return pa.table({"nth": hits["nth"], "start_word": hits["start_word"], "end_word": hits["end_word"], "first": first, "first_word": word})
+        first[mine], _ = _where(own[int(k)], place[mine])
+    nth, start, end = (hits[c].to_numpy() for c in ("nth", "start_word", "end_word"))
+    order = np.lexsort((start, first, nth))
+    nth, start, end, first = nth[order], start[order], end[order], first[order]
+    # the furthest end so far within a group of one document and original
+    group = np.cumsum(np.r_[False, (nth[1:] != nth[:-1]) | (first[1:] != first[:-1])])
+    reach = np.maximum.accumulate(end + group * (1 << 40)) - group * (1 << 40) if len(end) else end
+    new = np.r_[True, (group[1:] != group[:-1]) | (start[1:] > reach[:-1])] if len(end) else np.zeros(0, bool)
+    last = np.r_[new[1:], True] if len(end) else new
+    return pa.table({"nth": nth[new], "start_word": start[new], "end_word": reach[last], "first": first[new]})
 
 
 # ---- the operator -----------------------------------------------------------
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(doc_id, h, start_word, end_word, first_id, first_word): words [start,
-    end) of the document are made of windows of ``least`` words that occur
-    first in the document first_id (which can be the same document), side by
-    side from first_word on."""
+    """(doc_id, h, start_word, end_word, first_id): words [start, end) of the
+    document are made of windows of ``least`` words that occur first in the
+    document first_id (which can be the same document)."""
     spark = docs.sparkSession
     s, n = Scratch(spark), parallel(spark, docs)
     ids = identified(docs)
@@ -489,7 +497,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
         before.append((k, docs_before, words_before))
         docs_before, words_before = docs_before + sums[k][0], words_before + sums[k][1]
     if not words_before:
-        return spark.createDataFrame([], "doc_id long, h long, start_word long, end_word long, first_id long, first_word long")
+        return spark.createDataFrame([], "doc_id long, h long, start_word long, end_word long, first_id long")
     longest = max(x for _, _, x in sums.values())
     offsets = F.broadcast(spark.createDataFrame(before, "part int, d long, w long"))  # one row for each partition
     w = Window.partitionBy("part").orderBy("doc_id", "h")
@@ -538,10 +546,10 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
     found = by_key(own.select("*", *nothing("to", "first")).unionByName(copies.select("*", *nothing("lens", "nths", "starts"))), "bucket", _report(least), "nth long, start_word long, end_word long, bucket long, place long", n)
     found = found.withColumn("bucket", F.col("bucket").cast("int"))
     both = found.select("*", *nothing("lens", "nths", "starts")).unionByName(own.select("*", *[F.lit(None).cast("long").alias(c) for c in ("nth", "start_word", "end_word", "place")]))
-    found = by_key(both, "bucket", _originals, "nth long, start_word long, end_word long, first long, first_word long", n)
+    found = by_key(both, "bucket", _originals, "nth long, start_word long, end_word long, first long", n)
     ids_ = order.select("doc_id", "h", "nth")
     out = found.join(ids_, "nth").join(ids_.select(F.col("nth").alias("first"), F.col("doc_id").alias("first_id")), "first")
-    out = s.keep(out.select("doc_id", "h", "start_word", "end_word", "first_id", "first_word"), "out")
+    out = s.keep(out.select("doc_id", "h", "start_word", "end_word", "first_id"), "out")
     s.drop("copies", "order", "level-0")
     return out
 
