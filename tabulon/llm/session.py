@@ -8,6 +8,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -72,8 +73,10 @@ class Scratch:
         shuffle files of finished jobs."""
         for name in names:
             self.delete(self.path(name))
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first collection frees what holds the files' owners, the second these
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.4)
 
     def delete(self, at: str) -> None:
         sc = self.spark.sparkContext
