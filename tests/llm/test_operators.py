@@ -314,6 +314,30 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert contamination.leaks(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_leaks_are_those_of_all_pairs(spark):
+    """Every document aligned with every item, without seeds."""
+    r = random.Random(15)
+    items = [(k, words(r, r.randrange(12, 30), 500)) for k in range(10)]
+    docs = [(k, words(r, 60, 500), "s") for k in range(30)]
+    for k in range(20):  # parts, edited copies and whole ones
+        w = items[k % 10][1].split()
+        w = w[: len(w) - k % 7]
+        for p in range(k % 3, len(w), 8):
+            w[p] = "edited"
+        docs[k] = (k, f"{words(r, 20, 500)} {' '.join(w)} {words(r, 20, 500)}", "s")
+    want = {}
+    for d, t, _ in docs:
+        for i, x in items:
+            got = smith_waterman(x.split(), t.split()) / (2 * len(x.split()))
+            if got >= contamination.THRESHOLD:
+                want[d, i] = got
+    got = contamination.leaks(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    best = {}
+    for x in got:
+        best[x["doc_id"], x["item_id"]] = max(x["score"], best.get((x["doc_id"], x["item_id"]), 0))
+    assert len(want) > 10 and {k: round(v, 6) for k, v in best.items()} == {k: round(v, 6) for k, v in want.items()}
+
+
 @pytest.mark.parametrize("limit", [contamination.VOCABULARY, 10])
 def test_leaks_without_their_rare_words_are_found(spark, monkeypatch, limit):
     """Item words that no document has make no seeds, however words are counted."""
@@ -486,13 +510,39 @@ def operators(spark):
 @pytest.mark.parametrize("name", ["quality", "toxic", "bpe", "repeats", "leaks", "suffix", "fingerprints", "near", "grammar"])
 def test_odd_tables(spark, name):
     run = operators(spark)[name]
-    clash = table(spark, ODD).select("*", *(F.lit(1).alias(c) for c in ("h", "seed", "node", "keep_id", "quality_score", "words", "n_tokens", "nth", "bucket", "word", "sketch", "key", "starts")))
-    n = len(run(clash).collect())
-    want = {"bpe": 9, "suffix": 9, "grammar": 9, "near": 8, "leaks": 6}
-    assert n == want.get(name, n)
+    clash = table(spark, ODD).select("*", *(F.lit(1).alias(c) for c in ("h", "seed", "node", "keep_id", "quality_score", "words", "n_tokens", "nth", "bucket", "word", "sketch", "key", "starts", "win", "root", "n", "b", "s")))
+    rows = run(clash).collect()
+    if name == "quality":  # nothing without words is good; scores only for others
+        assert {r["doc_id"] for r in rows} <= {None, 4, 5, 6} and all(r["quality_score"] >= 0.5 for r in rows)
+    elif name == "toxic":  # too few labels to tell any unit
+        assert rows == []
+    elif name == "repeats":  # the long text repeats itself from its second word on
+        assert {(r["doc_id"], r["first_id"]) for r in rows} == {(6, 6)}
+        assert min(r["start_word"] for r in rows) == 1 and max(r["end_word"] for r in rows) == 60_000
+    elif name == "fingerprints":
+        assert {r["source"]: len(r["sketch"]) for r in rows} == {"s": len(set().union(*(shingle_set(t) for _, t, _ in ODD)))}
+    else:
+        assert len(rows) == {"bpe": 9, "suffix": 9, "grammar": 9, "near": 8, "leaks": 6}[name]
     assert len(run(clash.limit(0)).collect()) == 0
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Stages keep the clashing columns; null, empty and wordless texts go with
+    the classifier, repeated rows with the near duplicates."""
+    docs = table(spark, ODD + [(7, "same text here", "t"), (8, "a leak of same text here today", "t")]).select("*", *(F.lit(k).alias(c) for k, c in enumerate(("h", "node", "keep", "__maybe", "ids_", "root", "word"))))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "same text here now")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns[: len(docs.columns)] == docs.columns
+    # without labels nothing is rejected; 7 is a near duplicate of 4; 4 and 8 are leaks
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in out.collect()) == [-1, 1, 2, 3, 5, 6]
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, kept.limit(0), str(tmp_path))
+        assert after.columns == kept.columns and after.count() == 0, name
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = corpus_pipeline.run(spark, SF)
