@@ -2,6 +2,14 @@
 
 Each stage takes the table that the one before it wrote.  All but the last
 return the columns of ``documents``.
+
+Defined results: extra columns stay as they are, whatever their names, up to
+the last stage, which adds ``ids``.  Rows without doc_id are judged by the
+classifier like others (null, empty and wordless texts are rejected) and pass
+the stages between unchanged; of rows that repeat doc_id and text one stays, of
+near duplicates the least doc_id; a text whose passages all occurred before
+becomes empty and stays; without labels of both kinds, or without a benchmark,
+the stage concerned keeps all; an empty table gives an empty result.
 """
 
 from __future__ import annotations
