@@ -42,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .groups import lean
 from .session import ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -193,7 +194,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     ship(docs.sparkSession)
     base = docs.drop("ids", "n_tokens")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(_encode(vocabulary), f"{fields}, ids array<int>, n_tokens int")
+    return base.mapInArrow(lean(_encode(vocabulary)), f"{fields}, ids array<int>, n_tokens int")
 
 
 def _decode(vocabulary: str):
@@ -215,7 +216,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     ship(encoded.sparkSession)
     base = encoded.drop("n_tokens", "text")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.schema if f.name != "ids")
-    return base.mapInArrow(_decode(vocabulary), f"{fields}, text string" if fields else "text string")
+    return base.mapInArrow(lean(_decode(vocabulary)), f"{fields}, text string" if fields else "text string")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +232,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
             same = [None if t is None else c.decode(flat[i:j]) == t.encode() for t, i, j in zip(text, offs[:-1], offs[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, b.column("n_tokens"), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
 
-    return docs.mapInArrow(run, "doc_id long, ids array<int>, n_tokens int, round_trip boolean")
+    return docs.mapInArrow(lean(run), "doc_id long, ids array<int>, n_tokens int, round_trip boolean")
 
 
 QUERIES = {"op4_byte_bpe": op4_byte_bpe}

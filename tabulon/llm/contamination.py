@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .groups import sifted
+from .groups import lean, sifted
 from .session import Scratch
 
 GRAM, THRESHOLD, SLOTS = 3, 0.5, 1 << 22
@@ -183,7 +183,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, threshold: fl
     of an exact copy.  Words count from 0 in the document."""
     spark = docs.sparkSession
     s = Scratch(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(_items(gram), "item_id long, words array<long>, grams array<long>")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_items(gram)), "item_id long, words array<long>, grams array<long>")
     items = s.keep(items.where(F.size("words") > 0).distinct(), "items")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vocabulary = items.select(F.explode("words").alias("word")).distinct()
@@ -191,9 +191,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, threshold: fl
     if not len(known):
         return spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
     if len(known) <= VOCABULARY:
-        each = texts.select("text").mapInArrow(_counts(known), "word array<long>, n array<long>").select(F.explode(F.arrays_zip("word", "n")).alias("x")).select("x.word", "x.n")
+        each = texts.select("text").mapInArrow(lean(_counts(known)), "word array<long>, n array<long>").select(F.explode(F.arrays_zip("word", "n")).alias("x")).select("x.word", "x.n")
     else:
-        every = texts.select("text").mapInArrow(_all_counts, "word long, n long")
+        every = texts.select("text").mapInArrow(lean(_all_counts), "word long, n long")
         each = every.join(vocabulary.union(spark.createDataFrame([(0,)], "word long")), "word", "left_semi")
     counts = s.keep(each.groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = (counts.where("word = 0").select(F.greatest("n", F.lit(1))).first() or [1])[0]
@@ -214,11 +214,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, threshold: fl
     slots = seeds.select(F.col("seed").bitwiseAND(SLOTS - 1).alias("x")).distinct()
     bits = np.zeros(SLOTS, bool)
     bits[[r[0] for r in slots.toLocalIterator()]] = True  # at most SLOTS rows, whatever the benchmark
-    near = texts.mapInArrow(_stretches(sorted(got[1]), np.packbits(bits).tobytes(), int(got[0] * 1.5) + gram), "doc_id long, start long, words array<long>, seeds array<long>")
+    near = texts.mapInArrow(lean(_stretches(sorted(got[1]), np.packbits(bits).tobytes(), int(got[0] * 1.5) + gram)), "doc_id long, start long, words array<long>, seeds array<long>")
     near = s.keep(near, "near")
     hits = near.select("doc_id", "start", "words", F.explode(F.array_distinct("seeds")).alias("seed"))
     pairs = hits.join(seeds.select("item_id", F.col("words").alias("item"), "seed"), "seed").drop("seed").dropDuplicates(["doc_id", "start", "item_id", "item", "words"])
-    out = pairs.mapInArrow(_score(threshold), "doc_id long, item_id long, score double, start_word long, end_word long").distinct()
+    out = pairs.mapInArrow(lean(_score(threshold)), "doc_id long, item_id long, score double, start_word long, end_word long").distinct()
     out = s.keep(out, "out")
     s.drop("items", "counts", "seeds", "near")
     return out

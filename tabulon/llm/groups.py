@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +12,22 @@ from pyspark.sql import functions as F
 from .session import Scratch
 
 
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn``, and what it has freed goes back to the system when a task ends:
+    workers are reused, so it would count beside the needs of later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def by_key(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table], schema: str, n: int) -> DataFrame:
     """Apply ``fn`` to tables that hold whole groups of ``key``, many groups
     at a time, in order of the key.  One shuffle; a task holds one batch and
@@ -36,7 +53,7 @@ def by_key(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table], schema:
         if held:
             yield from fn(pa.Table.from_batches(held).combine_chunks()).to_batches()
 
-    return df.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(n, key).sortWithinPartitions(key).mapInArrow(lean(run), schema)
 
 
 #: Bits of a sieve: at most SIEVE / 64 rows of 16 bytes, whatever the input.

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .groups import by_key, components, sifted
+from .groups import by_key, components, lean, sifted
 from .session import Scratch, parallel
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 32, 3, 0.5
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     spark = docs.sparkSession
     s, n = Scratch(spark), parallel(spark, docs)
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    sig = s.keep(ids.mapInArrow(_sign(shingle, bands, rows), "doc_id long, h long, node long, n int, bands array<long>"), "sig")
+    sig = s.keep(ids.mapInArrow(lean(_sign(shingle, bands, rows)), "doc_id long, h long, node long, n int, bands array<long>"), "sig")
     buckets = sig.select(F.explode("bands").alias("bucket"), "node", "n")
     members = s.keep(by_key(buckets, "bucket", _crowd, "bucket long, node long, n int, hub long, hub_n int, m long", n), "members")
     fits = (F.col("n") >= F.lit(threshold) * F.col("hub_n")) & (F.col("hub_n") >= F.lit(threshold) * F.col("n"))
@@ -232,14 +232,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     givers = s.keep(classes.join(crowded, "node", "left_semi").select("least.doc_id", "least.h", "node"), "givers")
     s.drop()
     maybe = sifted(ids, key, givers, F.xxhash64("doc_id", "h")).where("__maybe").drop("__maybe")
-    sets = maybe.hint("merge").join(givers.hint("merge"), ["doc_id", "h"]).dropDuplicates(["node"]).mapInArrow(_packed(shingle), "node long, set binary")
+    sets = maybe.hint("merge").join(givers.hint("merge"), ["doc_id", "h"]).dropDuplicates(["node"]).mapInArrow(lean(_packed(shingle)), "node long, set binary")
     sets = s.keep(sets, "sets")
     s.drop("givers")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         left = pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x")
         both = left.join(sets.select(F.col("node").alias("y"), F.col("set").alias("sy")), "y")
-        ok = s.keep(both.select("x", "y", "sx", "sy").mapInArrow(_alike(threshold), "a long, b long"), f"ok-{name}")
+        ok = s.keep(both.select("x", "y", "sx", "sy").mapInArrow(lean(_alike(threshold)), "a long, b long"), f"ok-{name}")
         s.drop()
         return ok
 
@@ -251,10 +251,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     open_ = s.keep(open_, "open")
     s.drop("members")
     total = open_.agg(F.sum(F.octet_length("set") / 5)).first()[0] or 0
-    often = open_.select("set").mapInArrow(_shingles, "s long").groupBy("s").count().where(F.col("count") > max(2, total / FREQUENT))
+    often = open_.select("set").mapInArrow(lean(_shingles), "s long").groupBy("s").count().where(F.col("count") > max(2, total / FREQUENT))
     frequent = np.array([r["s"] for r in often.select("s").toLocalIterator()], np.int64)  # at most FREQUENT
-    prefix = open_.mapInArrow(_prefix(threshold, frequent), "s long, node long, root long, n int")
-    rest = prefix.repartition(n, "s").sortWithinPartitions("s").mapInArrow(_across(threshold), "x long, y long").distinct()
+    prefix = open_.mapInArrow(lean(_prefix(threshold, frequent)), "s long, node long, root long, n int")
+    rest = prefix.repartition(n, "s").sortWithinPartitions("s").mapInArrow(lean(_across(threshold)), "x long, y long").distinct()
     star = stars.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
     rest = s.keep(rest.join(star, ["x", "y"], "left_anti"), "rest")
     s.drop("open")

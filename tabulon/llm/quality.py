@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .groups import lean
 from .session import ship
 
 PASSAGE, HIDDEN, ATTENTION, SHAPES, SAMPLE, STEPS = 64, 24, 12, 64, 3000, 400
@@ -190,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     y = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id").select("y", "text")  # at most ``sample`` rows
-    rows = [(r["y"], np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES)) for r in known.mapInArrow(_features(PASSAGE), "y int, x binary").collect()]
+    rows = [(r["y"], np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES)) for r in known.mapInArrow(lean(_features(PASSAGE)), "y int, x binary").collect()]
     rows = sorted(((k, x) for k, x in rows if len(x)), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     if len({k for k, _ in rows}) < 2:
         return None
@@ -214,7 +215,7 @@ def scored(docs: DataFrame, model: Model | None, column: str = "quality_score")
     ship(docs.sparkSession)
     from pyspark.sql import types as T
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(column, T.DoubleType())]))
+    return base.mapInArrow(lean(run), T.StructType([*base.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:

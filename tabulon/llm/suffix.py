@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .groups import by_key, sifted
+from .groups import by_key, lean, sifted
 from .repeats import GRAM, LEAST, identified, seeds
 from .session import Scratch, parallel
 
@@ -484,9 +484,9 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
     spark = docs.sparkSession
     s, n = Scratch(spark), parallel(spark, docs)
     ids = identified(docs)
-    found = by_key(ids.mapInArrow(_seeds(least, gram), "seed long, doc_id long, h long, p int, n int"), "seed", _crowded, "doc_id long, h long, p int, n int", n).distinct()
+    found = by_key(ids.mapInArrow(lean(_seeds(least, gram)), "seed long, doc_id long, h long, p int, n int"), "seed", _crowded, "doc_id long, h long, p int, n int", n).distinct()
     spans = found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("p", "n")).alias("x")).select("doc_id", "h", F.col("x.p").alias("ps"), F.col("x.n").alias("ns"))
-    spans = s.keep(spans.mapInArrow(_spans(least), "doc_id long, h long, starts binary, stops binary, size long, longest long").where("size > 0"), "spans")
+    spans = s.keep(spans.mapInArrow(lean(_spans(least)), "doc_id long, h long, starts binary, stops binary, size long, longest long").where("size > 0"), "spans")
     # number the documents in order; a bucket is the numbers of words before
     part = spans.select("doc_id", "h", "size", "longest").repartitionByRange(n, "doc_id", "h").withColumn("part", F.spark_partition_id())
     part = s.keep(part, "part")
@@ -506,7 +506,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
     key = F.xxhash64("doc_id", "h")
     some = sifted(ids, key, spans, key).where("__maybe").drop("__maybe")
     text = some.join(spans.drop("size", "longest").join(order, ["doc_id", "h"]), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).drop("doc_id", "h")
-    cut = text.mapInArrow(_words(least), "bucket int, nth long, sym binary, win binary, sizes binary, starts binary")
+    cut = text.mapInArrow(lean(_words(least)), "bucket int, nth long, sym binary, win binary, sizes binary, starts binary")
     level = s.keep(by_key(cut, "bucket", _pack, "bucket int, lens binary, nths binary, sym binary, win binary, starts binary", n), "level-0")
     s.drop("spans", "part")
 
@@ -514,12 +514,12 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
     while True:
         depth, kind, count = len(levels) - 1, kinds[-1], max(1, -(-size // RANGE))
         every = max(1, size // (count * 100))
-        seen = np.array([tuple(r) for r in levels[-1].select("lens", "sym").mapInArrow(_sample(kind, every), "a long, b long, c long").collect()], np.int64).reshape(-1, 3)
+        seen = np.array([tuple(r) for r in levels[-1].select("lens", "sym").mapInArrow(lean(_sample(kind, every)), "a long, b long, c long").collect()], np.int64).reshape(-1, 3)
         seen = seen[np.lexsort(seen.T[::-1])]
         splits = seen[(np.arange(1, count) * len(seen)) // count] if len(seen) else np.zeros((0, 3), np.int64)
         splitters.append(splits)
         ranges.append(count)
-        names = levels[-1].select("bucket", "lens", "sym").mapInArrow(_send_triples(kind, splits), "range int, bucket int, keys binary, to binary").repartitionById(count, "range").mapInArrow(_name(kind), "range int, count long, bucket int, to binary, name binary")
+        names = levels[-1].select("bucket", "lens", "sym").mapInArrow(lean(_send_triples(kind, splits)), "range int, bucket int, keys binary, to binary").repartitionById(count, "range").mapInArrow(lean(_name(kind)), "range int, count long, bucket int, to binary, name binary")
         names = s.keep(names, f"names-{depth}")
         base, different, size = _bases(names)
         kinds.append("u4" if words_before < 1 << 31 else "u8")
@@ -532,11 +532,11 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
     parts, last = names, f"names-{depth}"
     for depth in reversed(range(len(levels))):
         top, kind, rkind = depth == 0, kinds[depth], kinds[depth + 1]
-        sent = _placed(parts, levels[depth], rkind, base, n).mapInArrow(_send_suffixes(kind, rkind, splitters[depth], top), "range int, bucket int, keys binary, to binary").repartitionById(ranges[depth], "range")
+        sent = _placed(parts, levels[depth], rkind, base, n).mapInArrow(lean(_send_suffixes(kind, rkind, splitters[depth], top)), "range int, bucket int, keys binary, to binary").repartitionById(ranges[depth], "range")
         if top:
-            copies = s.keep(sent.mapInArrow(_compare(kind, rkind), "bucket int, to binary, first binary"), "copies")
+            copies = s.keep(sent.mapInArrow(lean(_compare(kind, rkind)), "bucket int, to binary, first binary"), "copies")
             break
-        parts = s.keep(sent.mapInArrow(_rank(kind, rkind), "range int, count long, bucket int, to binary, name binary"), f"ranked-{depth}")
+        parts = s.keep(sent.mapInArrow(lean(_rank(kind, rkind)), "range int, count long, bucket int, to binary, name binary"), f"ranked-{depth}")
         base, _, _ = _bases(parts)
         s.drop(last, f"level-{depth}")
         last = f"ranked-{depth}"
@@ -611,7 +611,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     found = s.keep(found.select("__id", "__h", F.col("x.start_word").alias("__starts"), F.col("x.end_word").alias("__stops")), "found")
     keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     keyed = sifted(keyed, F.xxhash64("__id", "__h"), found, F.xxhash64("__id", "__h"))
-    hit = keyed.where("__maybe").join(found, ["__id", "__h"], "left").select(*docs.columns, "__starts", "__stops").mapInArrow(_cut, docs.schema)
+    hit = keyed.where("__maybe").join(found, ["__id", "__h"], "left").select(*docs.columns, "__starts", "__stops").mapInArrow(lean(_cut), docs.schema)
     return keyed.where("not __maybe").select(docs.columns).unionByName(hit)
 
 
