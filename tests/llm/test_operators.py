@@ -492,7 +492,7 @@ LABELS = "doc_id long, quality int, toxic int, text string"
 
 
 def operators(spark):
-    labels = spark.createDataFrame([(2, 0, 0, "x"), (4, 1, 0, "x"), (5, None, 1, "x"), (None, 1, 1, "x"), (4, 1, 1, "x")], LABELS)
+    labels = spark.createDataFrame([(2, 0, 0, "x"), (6, 0, None, "x"), (4, 1, 0, "x"), (5, None, 1, "x"), (None, 1, 1, "x"), (4, 1, 1, "x")], LABELS)
     bench = spark.createDataFrame([(1, "same text here", 5), (None, None, 5)], "item_id long, text string, doc_id long")
     return {
         "quality": lambda d: quality.keep_good(d, labels),
