@@ -6,9 +6,9 @@ again, and keeps the rules.  Each round counts all pairs that lie within a
 document and replaces every place where a frequent pair is at least as frequent
 as the pairs that overlap it (the more frequent pair wins, as in Re-Pair), for
 all such pairs at once; rounds go on until no pair occurs ``LEAST`` times without
-overlapping itself.  Which of two overlapping pairs wins is decided by counts
-in a hash table; a pair becomes a rule by the exact number of places that it
-won.  After a round only pairs that were frequent or have a new symbol can be
+overlapping itself.  Pairs are counted by one sort, in which a pair and its place
+are one number; a pair becomes a rule by the number of places that it won.
+After a round only pairs that were frequent or have a new symbol can be
 frequent, so only these are counted again.
 
 A rule has the length of its expansion, so decoding is random access: document
@@ -39,83 +39,104 @@ from pyspark.sql import functions as F
 from .bpe import VOCABULARY, codec
 from .session import ship
 
-SHARD, LEAST, BITS = 1 << 20, 2, 21
+SHARD, LEAST = 1 << 20, 2
 SHARD_SCHEMA = "shard long, doc_ids array<long>, sizes array<int>, symbols array<int>, starts array<int>, base int, left array<int>, right array<int>, lengths array<int>, n_tokens long"
 
 
+def _classes(key: np.ndarray, bound: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys (all below ``bound``) that occur ``least`` times, how
+    often each occurs, and the number of the class of each key, -1 for others.
+    ``key`` is overwritten."""
+    n = len(key)
+    bits = n.bit_length()
+    if bound.bit_length() + bits < 64:  # keys and places in one number: several times as fast as a sort of indices
+        key <<= bits
+        key |= np.arange(n)
+        key.sort()
+        order = key & (1 << bits) - 1
+        key >>= bits
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:n])
+    count = np.diff(head, append=n)
+    often = count >= least
+    which = np.full(n, -1, np.int32)
+    which[order[np.repeat(often, count)]] = np.repeat(np.arange(often.sum(), dtype=np.int32), count[often])
+    return key[head[often]], count[often], which
+
+
+def _apart(touch: np.ndarray) -> np.ndarray:
+    """Flags of the places that are left when every second one of a run is
+    dropped; touch[i]: place i + 1 is in a run with place i."""
+    out = np.ones(len(touch) + 1, bool)
+    later = np.flatnonzero(touch) + 1
+    lead = np.flatnonzero(np.r_[True, later[1:] != later[:-1] + 1][: len(later)])
+    step = np.arange(len(later)) - np.repeat(lead, np.diff(lead, append=len(later)))
+    out[later[step % 2 == 0]] = False
+    return out
+
+
 def repair(ids: np.ndarray, starts: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, starts of the documents among them, left, right): symbol
     base + k stands for left[k] and right[k]; smaller ones are ids."""
-    seq, starts = ids.astype(np.int64), starts.astype(np.int64)
+    seq, starts = ids.astype(np.int32), starts.astype(np.int64)
     left, right, size = [], [], base
+    last = np.zeros(len(seq), bool)  # the last symbols of documents
+    last[-1:] = True
+    last[starts[starts > 0] - 1] = True
     # a pair within a document can only win later if it is frequent now, or new
-    open_ = np.ones(max(len(seq) - 1, 0), bool)
-    edge = starts[(starts > 0) & (starts < len(seq))]
-    open_[edge - 1] = False
-    closed = ~open_
+    place = np.flatnonzero(~last)
     while True:
-        place = np.flatnonzero(open_)
-        key = seq[place] * size + seq[place + 1]
-        bits = min(BITS, max(8, int(4 * len(key)).bit_length()))
-        slot = ((key * np.int64(0x9E3779B97F4A7C1)).view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
-        count = np.bincount(slot, minlength=1 << bits)[slot]
-        often = count >= least
-        place, key, count = place[often], key[often], count[often]
+        key = seq[place].astype(np.int64)
+        key *= size
+        key += seq[1:][place]
+        new, count, which = _classes(key, size * size, least)
+        often = np.flatnonzero(which >= 0)
+        place, which = place[often], which[often]
         if not len(place):
             break
-        # the counts of the pairs that overlap a pair on both sides, 0 if none
-        beside = np.r_[place[1:] == place[:-1] + 1, False]
-        after = np.where(beside, np.r_[count[1:], 0], 0)
-        before = np.where(np.r_[False, beside[:-1]], np.r_[0, count[:-1]], 0)
+        # a pair loses to a more frequent one that it overlaps
+        times = count[which]
+        beside = place[1:] == place[:-1] + 1
+        win = np.ones(len(place), bool)
+        win[:-1] &= ~(beside & (times[:-1] < times[1:]))
+        win[1:] &= ~(beside & (times[1:] < times[:-1]))
+        best = np.flatnonzero(win)
         # runs of equal counts: every second place from the left
-        best = np.flatnonzero((count >= before) & (count >= after))
-        at = place[best]
-        lead = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1)])
-        step = np.arange(len(at)) - np.repeat(lead, np.diff(np.append(lead, len(at))))
-        best = best[step % 2 == 0]
-        new, which, times = np.unique(key[best], return_inverse=True, return_counts=True)
-        good = times >= least
-        at, which = place[best][good[which]], (np.cumsum(good) - 1)[which[good[which]]]
-        new = new[good]
-        if not len(at):
-            # ties took each other's places: the most frequent pair goes alone
-            new, which, times = np.unique(key, return_inverse=True, return_counts=True)
-            k = int(times.argmax())
-            at = place[which == k]
-            lead = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])
-            step = np.arange(len(at)) - np.repeat(lead, np.diff(np.append(lead, len(at))))
-            at = at[step % 2 == 0]
-            rest = times >= least  # others met in the table only
-            if len(at) < least:  # it overlaps itself
-                rest[k] = False
-            place = place[rest[which]]
-            open_[:] = False
-            open_[place] = True
-            if len(at) < least:
-                continue
-            new, which = new[k : k + 1], np.zeros(len(at), np.int64)
+        best = best[_apart(place[best[1:]] == place[best[:-1]] + 1)]
+        good = np.bincount(which[best], minlength=len(new)) >= least
+        if good.any():
+            best = best[good[which[best]]]
+            at, which = place[best], which[best]
         else:
-            open_[:] = False
-            open_[place] = True
-        seq[at] = size + which
+            # ties took each other's places: the most frequent pair goes alone
+            order = np.argsort(which, kind="stable")
+            at, of = place[order], which[order]
+            alone = _apart((at[1:] == at[:-1] + 1) & (of[1:] == of[:-1]))
+            times = np.bincount(of[alone], minlength=len(new))
+            good[k := int(times.argmax())] = True
+            if times[k] < least:  # all that are left overlap themselves
+                break
+            place = place[(times >= least)[which]]
+            at, which = at[alone & (of == k)], of[alone & (of == k)]
+        seq[at] = (np.cumsum(good) + (size - 1)).astype(np.int32)[which]
+        left.append(new[good] // size)
+        right.append(new[good] % size)
+        size += len(left[-1])
+        # pairs with a new symbol are open
+        last[at] = last[at + 1]
+        open_ = np.zeros(len(seq), bool)
+        open_[place] = True
+        open_[at - 1] = True  # before the first symbol is the last one, which has no pair
+        open_ &= ~last
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        left.append(new // size)
-        right.append(new % size)
-        size += len(new)
-        # pairs with a new symbol are open
-        open_[at] = True
-        open_[at[at > 0] - 1] = True
-        closed[at[at + 1 < len(closed)]] = closed[at[at + 1 < len(closed)] + 1]
-        gone = np.concatenate([[0], np.cumsum(~keep)])
-        tail = at[at + 1 == len(seq) - 1]  # the last symbol has no pair after it
-        seq, starts = seq[keep], starts - gone[starts]
-        inner = keep[:-1].copy()
-        inner[tail] = False
-        open_, closed = open_[inner], closed[inner]
-        open_ &= ~closed
+        keep = np.flatnonzero(keep)  # faster than flags
+        seq, last, place = seq[keep], last[keep], np.flatnonzero(open_[keep])
+        starts -= np.searchsorted(at, starts - 1)
     join = lambda x: np.concatenate(x or [np.zeros(0)]).astype(np.int32)
-    return seq.astype(np.int32), starts.astype(np.int32), join(left), join(right)
+    return seq, starts.astype(np.int32), join(left), join(right)
 
 
 def lengths(base: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -279,6 +279,27 @@ def test_grammar_ends_as_plain_repair_does(seed):
     assert len(symbols) + 2 * len(left) <= 1.15 * (symbols_ + 2 * rules_)
 
 
+def test_grammar_rounds_do_not_grow_with_pairs_that_overlap_themselves(monkeypatch):
+    """Pairs that only occur in runs of three can't become rules; they once took
+    a round over the shard each."""
+    count, rounds = np.bincount, []
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: rounds.append(1) or count(*a, **k))
+    flat = np.repeat(np.arange(500, dtype=np.int32), 3)
+    symbols, starts, left, _ = grammar.repair(flat, np.arange(0, 1500, 3), 500)
+    assert symbols.tolist() == flat.tolist() and starts.tolist() == list(range(0, 1500, 3)) and not len(left)
+    assert len(rounds) < 10
+
+
+def test_grammar_counts_pairs_alike_in_both_sorts():
+    """Keys that leave no room for places in 64 bits are sorted by index."""
+    key = np.array(random.Random(6).choices(range(40), k=300) + [99], np.int64)
+    want = {k: n for k, n in zip(*(x.tolist() for x in np.unique(key, return_counts=True))) if n >= 2}
+    for bound in (100, 1 << 62):
+        new, times, which = grammar._classes(key.copy(), bound, 2)
+        assert dict(zip(new.tolist(), times.tolist())) == want and new.tolist() == sorted(want)
+        assert [new[w] if w >= 0 else None for w in which] == [k if k in want else None for k in key.tolist()]
+
+
 # ---- contamination ----------------------------------------------------------
 
 
