@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm.bpe import encode
 from tabulon.llm.contamination import drop_leaks
+from tabulon.llm.groups import unused
 from tabulon.llm.near import keep_one
 from tabulon.llm.quality import keep_good
 from tabulon.llm.session import Scratch
@@ -26,7 +27,7 @@ from tabulon.llm.suffix import remove_repeats
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(docs.columns)
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), column=f"{unused(docs)}score").select(docs.columns)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

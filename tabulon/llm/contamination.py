@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .groups import lean, sifted
+from .groups import lean, sifted, unused
 from .session import Scratch
 
 GRAM, THRESHOLD, SLOTS = 3, 0.5, 1 << 22
@@ -228,11 +228,12 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item.  Rows without
     doc_id stay."""
     s = Scratch(docs.sparkSession)
-    found = s.keep(leaks(docs, benchmark, **how).where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct(), "leaky")
+    p = unused(docs)
+    found = s.keep(leaks(docs, benchmark, **how).where("doc_id is not null").select(F.col("doc_id").alias(f"{p}id")).distinct(), "leaky")
     # only documents that may be among them are shuffled
-    marked = sifted(docs.withColumn("__id", F.col("doc_id").cast("long")), F.coalesce(F.col("__id"), F.lit(0)), found, F.col("__id"))
-    sure = F.col("__id").isNull() | ~F.col("__maybe")
-    rest = marked.where(~sure).join(found, "__id", "left_anti")
+    marked = sifted(docs.withColumn(f"{p}id", F.col("doc_id").cast("long")), F.coalesce(F.col(f"{p}id"), F.lit(0)), found, F.col(f"{p}id"), p)
+    sure = F.col(f"{p}id").isNull() | ~F.col(f"{p}maybe")
+    rest = marked.where(~sure).join(found, f"{p}id", "left_anti")
     return marked.where(sure).select(docs.columns).unionByName(rest.select(docs.columns))
 
 

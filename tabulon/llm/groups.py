@@ -60,16 +60,24 @@ def by_key(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table], schema:
 SIEVE = 1 << 24
 
 
-def sifted(df: DataFrame, key: Column, wanted: DataFrame, of: Column) -> DataFrame:
-    """``df`` with a column __maybe: false only for rows whose ``key`` is in no
+def unused(df: DataFrame) -> str:
+    """Underscores that no column of ``df`` begins with, to name new ones."""
+    p = "__"
+    while any(c.startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
+def sifted(df: DataFrame, key: Column, wanted: DataFrame, of: Column, p: str = "__") -> DataFrame:
+    """``df`` with a column ``p``maybe: false only for rows whose ``key`` is in no
     row of ``wanted`` (``of``, both bigint).  A bitmap of fixed size is
     broadcast, so rows that a later join would drop needn't be shuffled; when
     the bitmap is full, all rows are."""
     at = lambda c: F.pmod(c, F.lit(SIEVE))
-    words = wanted.select(at(of).alias("b")).groupBy(F.shiftright("b", 6).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").cast("int").bitwiseAND(63))).alias("__bits"))
-    df = df.withColumn("__at", at(key)).withColumn("__word", F.shiftright("__at", 6))
-    df = df.join(F.broadcast(words), "__word", "left")  # at most SIEVE / 64 rows
-    return df.withColumn("__maybe", F.coalesce(F.getbit("__bits", F.col("__at").cast("int").bitwiseAND(63)) == 1, F.lit(False))).drop("__at", "__word", "__bits")
+    words = wanted.select(at(of).alias("b")).groupBy(F.shiftright("b", 6).alias(f"{p}word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").cast("int").bitwiseAND(63))).alias(f"{p}bits"))
+    df = df.withColumn(f"{p}at", at(key)).withColumn(f"{p}word", F.shiftright(f"{p}at", 6))
+    df = df.join(F.broadcast(words), f"{p}word", "left")  # at most SIEVE / 64 rows
+    return df.withColumn(f"{p}maybe", F.coalesce(F.getbit(f"{p}bits", F.col(f"{p}at").cast("int").bitwiseAND(63)) == 1, F.lit(False))).drop(f"{p}at", f"{p}word", f"{p}bits")
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:

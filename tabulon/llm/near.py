@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .groups import by_key, components, lean, sifted
+from .groups import by_key, components, lean, sifted, unused
 from .session import Scratch, parallel
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 32, 3, 0.5
@@ -279,13 +279,14 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     doc_id and text one stays."""
     found = near_duplicates(docs, **how)
     s = Scratch(docs.sparkSession)
+    p = unused(docs)
     id_, h = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    again = docs.where("doc_id is not null").select(id_.alias("__id"), h.alias("__h")).groupBy("__id", "__h").count().where("count > 1")
+    again = docs.where("doc_id is not null").select(id_.alias(f"{p}id"), h.alias(f"{p}h")).groupBy(f"{p}id", f"{p}h").count().where("count > 1")
     # documents that go, and those that repeat: only these are shuffled
-    known = s.keep(found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.lit(True).alias("__gone")).unionByName(again.select("__id", "__h", F.lit(False).alias("__gone"))), "known")
-    marked = sifted(docs.withColumns({"__id": id_, "__h": h}), F.coalesce(F.xxhash64("__id", "__h"), F.lit(0)), known, F.xxhash64("__id", "__h"))
-    sure = F.col("doc_id").isNull() | ~F.col("__maybe")
-    rest = marked.where(~sure).join(known.where("__gone").select("__id", "__h").hint("merge"), ["__id", "__h"], "left_anti").dropDuplicates(["__id", "__h"])
+    known = s.keep(found.select(F.col("doc_id").alias(f"{p}id"), F.col("h").alias(f"{p}h"), F.lit(True).alias(f"{p}gone")).unionByName(again.select(f"{p}id", f"{p}h", F.lit(False).alias(f"{p}gone"))), "known")
+    marked = sifted(docs.withColumns({f"{p}id": id_, f"{p}h": h}), F.coalesce(F.xxhash64(f"{p}id", f"{p}h"), F.lit(0)), known, F.xxhash64(f"{p}id", f"{p}h"), p)
+    sure = F.col("doc_id").isNull() | ~F.col(f"{p}maybe")
+    rest = marked.where(~sure).join(known.where(f"{p}gone").select(f"{p}id", f"{p}h").hint("merge"), [f"{p}id", f"{p}h"], "left_anti").dropDuplicates([f"{p}id", f"{p}h"])
     return marked.where(sure).select(docs.columns).unionByName(rest.select(docs.columns))
 
 

@@ -218,9 +218,9 @@ def scored(docs: DataFrame, model: Model | None, column: str = "quality_score")
     return base.mapInArrow(lean(run), T.StructType([*base.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, column: str = "quality_score") -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with their score."""
-    return scored(docs, train(docs, labels, sample)).where(F.col("quality_score").isNull() | (F.col("quality_score") >= threshold))
+    return scored(docs, train(docs, labels, sample), column).where(F.col(column).isNull() | (F.col(column) >= threshold))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .groups import by_key, lean, sifted
+from .groups import by_key, lean, sifted, unused
 from .repeats import GRAM, LEAST, identified, seeds
 from .session import Scratch, parallel
 
@@ -572,10 +572,10 @@ def _placed(parts: DataFrame, level: DataFrame, kind: str, base: dict[int, int],
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Remove the words of the given spans from the texts."""
+    """Remove the words of the spans in the last two columns from the texts."""
     for b in batches:
         text = b.column("text")
-        starts, stops = b.column("__starts").to_pylist(), b.column("__stops").to_pylist()
+        starts, stops = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
         hit = np.array([x is not None for x in starts], bool)
         out = text.to_pylist() if hit.any() else None
         if out is not None:
@@ -591,8 +591,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         done = int(e[y - 1])
                     parts.append(raw[done:])
                     out[r] = b"".join(parts).decode().strip()
-        cols = [pa.array(out, text.type) if name == "text" and out is not None else b.column(name) for name in b.schema.names if name not in ("__starts", "__stops")]
-        names = [x for x in b.schema.names if x not in ("__starts", "__stops")]
+        cols = [pa.array(out, text.type) if name == "text" and out is not None else b.column(name) for name in b.schema.names[:-2]]
+        names = b.schema.names[:-2]
         if "n_chars" in names and out is not None:
             k = names.index("n_chars")
             old = cols[k].to_pylist()
@@ -607,12 +607,13 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     n_chars follows the text; a text may become empty.  Rows without doc_id
     are unchanged."""
     s = Scratch(docs.sparkSession)
-    found = repeated_passages(docs, least, gram).groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("x"))
-    found = s.keep(found.select("__id", "__h", F.col("x.start_word").alias("__starts"), F.col("x.end_word").alias("__stops")), "found")
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    keyed = sifted(keyed, F.xxhash64("__id", "__h"), found, F.xxhash64("__id", "__h"))
-    hit = keyed.where("__maybe").join(found, ["__id", "__h"], "left").select(*docs.columns, "__starts", "__stops").mapInArrow(lean(_cut), docs.schema)
-    return keyed.where("not __maybe").select(docs.columns).unionByName(hit)
+    p = unused(docs)
+    found = repeated_passages(docs, least, gram).groupBy(F.col("doc_id").alias(f"{p}id"), F.col("h").alias(f"{p}h")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("x"))
+    found = s.keep(found.select(f"{p}id", f"{p}h", F.col("x.start_word").alias(f"{p}starts"), F.col("x.end_word").alias(f"{p}stops")), "found")
+    keyed = docs.withColumn(f"{p}id", F.col("doc_id").cast("long")).withColumn(f"{p}h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    keyed = sifted(keyed, F.xxhash64(f"{p}id", f"{p}h"), found, F.xxhash64(f"{p}id", f"{p}h"), p)
+    hit = keyed.where(f"{p}maybe").join(found, [f"{p}id", f"{p}h"], "left").select(*docs.columns, f"{p}starts", f"{p}stops").mapInArrow(lean(_cut), docs.schema)
+    return keyed.where(f"not {p}maybe").select(docs.columns).unionByName(hit)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -564,6 +564,25 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         assert after.columns == kept.columns and after.count() == 0, name
 
 
+def test_stages_keep_the_values_of_columns_named_like_their_own(spark, tmp_path):
+    """Of rows that a stage looks at more closely, too: copies, repeats, leaks."""
+    own = [f"__{c}" for c in ("id", "h", "maybe", "gone", "starts", "stops", "at", "word", "bits", "score")] + ["___maybe", "quality_score"]
+    r = random.Random(16)
+    passage = words(r, 60)
+    texts = [words(r, 30), f"{words(r, 80)} {passage}", f"{passage} {words(r, 80)}", "a leaked item of words", None]
+    docs = table(spark, [(k, t, "s") for k, t in [*enumerate(texts), (0, texts[0]), (9, texts[0])]])
+    docs = docs.select("*", *((F.lit(100 * k) + F.coalesce("doc_id", F.lit(0))).alias(c) for k, c in enumerate(own)))
+    spark.createDataFrame([(1, texts[3])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = {"quality classifier": [0, 0, 1, 2, 3, 4, 9], "near duplicates": [0, 1, 2, 3, 4], "suffix-array dedup": [0, 0, 1, 2, 3, 4, 9], "decontamination": [0, 0, 1, 2, 4, 9]}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        rows = out.collect()
+        assert sorted(x["doc_id"] for x in rows) == left[name], name
+        assert all(x[c] == 100 * k + x["doc_id"] for x in rows for k, c in enumerate(own)), name
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = corpus_pipeline.run(spark, SF)
