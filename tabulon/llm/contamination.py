@@ -1,14 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
-
-1. Count over all documents how often each word of the benchmark occurs.  The
-   expected frequency of an n-gram of an item is the product of its words'
-   frequencies; an item's seeds are the rarer half of its n-grams whose words
-   all occur in documents.  (Word
-   frequencies, not counts of the n-gram itself: a passage that leaked
-   thousands of times must keep its seeds.)
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
+
+1. Find the words of the benchmark that occur in documents.  An item's seeds
+   are all its n-grams of such words, so no passage is missed that shares a
+   run of n words with it.
 2. Seeds join training passages to items: each document emits the stretches
-   of words around n-grams that pass a bit filter of the seeds; an equi-join
-   with the seeds makes the pairs exact.
+   of words around n-grams that pass a bit filter of the seeds, as many as an
+   alignment can reach; an equi-join with the seeds makes the pairs exact.
+   Pairs with too few words in common to score enough aren't aligned.
 3. Smith-Waterman aligns words of item and stretch: +2 for a match, -1 for a
    substitution and for each inserted or deleted word, so edits and
    paraphrases cost in proportion.  The score is a share of an exact copy's.
@@ -161,7 +159,8 @@ def _score(threshold: float):
                     continue
                 # sizes differ by orders of magnitude: align like with like
                 got = np.zeros(len(items)), np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
-                by = sorted(range(len(items)), key=lambda r: (len(texts[r]), len(items[r])))
+                enough = [r for r in range(len(items)) if np.isin(items[r], texts[r]).sum() / len(items[r]) >= threshold]
+                by = sorted(enough, key=lambda r: (len(texts[r]), len(items[r])))
                 for k in range(0, len(by), 64):
                     rows = by[k : k + 64]
                     x, y = [items[r] for r in rows], [texts[r] for r in rows]
@@ -170,7 +169,7 @@ def _score(threshold: float):
                     got[0][rows] = best / np.array([MATCH * len(v) for v in x])
                     got[1][rows] = np.array([len(v) for v in y]) - back
                     got[2][rows] = end
-                ok = np.flatnonzero(got[0] >= threshold)
+                ok = np.array([r for r in enough if got[0][r] >= threshold], np.int64)
                 take, start = pa.array(ok), part.column("start").to_numpy()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("item_id").take(take), pa.array(got[0][ok]), pa.array((start + got[1])[ok]), pa.array((start + got[2])[ok])], ["doc_id", "item_id", "score", "start_word", "end_word"])
 
@@ -196,25 +195,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, threshold: fl
         every = texts.select("text").mapInArrow(lean(_all_counts), "word long, n long")
         each = every.join(vocabulary.union(spark.createDataFrame([(0,)], "word long")), "word", "left_semi")
     counts = s.keep(each.groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    total = (counts.where("word = 0").select(F.greatest("n", F.lit(1))).first() or [1])[0]
     # a word that no document has is missing where words are counted by a join
     each = vocabulary.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
-    freq = each.select("word", F.struct(F.log((F.col("n") + 1) / F.lit(float(total))).alias("f"), (F.col("n") > 0).alias("there")).alias("f"))
-    # the expected frequency of each n-gram that can occur, and the rarer half of an item's
-    words = items.select("item_id", "words", F.posexplode("words").alias("p", "word")).join(freq, "word")
-    model = words.groupBy("item_id", "words").agg(F.array_sort(F.collect_list(F.struct("p", "f"))).alias("pf"))
-    lists = items.join(model, ["item_id", "words"]).select("item_id", "words", F.posexplode("grams").alias("p", "seed"), (F.size("words") - F.size("grams") + 1).alias("k"), F.col("pf.f").alias("f"))
-    lists = lists.withColumn("f", F.slice("f", F.col("p") + 1, F.col("k"))).where(F.forall("f", lambda x: x["there"]))
-    lists = lists.withColumn("rare", F.aggregate("f", F.lit(0.0), lambda x, y: x + y["f"]))
-    per = F.expr("percentile(rare, 0.5) over (partition by item_id, words)")
-    seeds = s.keep(lists.withColumn("middle", per).where("rare <= middle").select("item_id", "words", "seed", "k").distinct(), "seeds")
+    there = each.select("word", (F.col("n") > 0).alias("there"))
+    # the n-grams that can occur
+    words = items.select("item_id", "words", F.posexplode("words").alias("p", "word")).join(there, "word")
+    model = words.groupBy("item_id", "words").agg(F.array_sort(F.collect_list(F.struct("p", "there"))).alias("pt"))
+    lists = items.join(model, ["item_id", "words"]).select("item_id", "words", F.posexplode("grams").alias("p", "seed"), (F.size("words") - F.size("grams") + 1).alias("k"), F.col("pt.there").alias("there"))
+    lists = lists.where(F.forall(F.slice("there", F.col("p") + 1, F.col("k")), lambda x: x))
+    seeds = s.keep(lists.select("item_id", "words", "seed", "k").distinct(), "seeds")
     got = seeds.agg(F.max(F.size("words")), F.collect_set("k")).first()
     if got[0] is None:  # no document has a word
         return spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
     slots = seeds.select(F.col("seed").bitwiseAND(SLOTS - 1).alias("x")).distinct()
     bits = np.zeros(SLOTS, bool)
     bits[[r[0] for r in slots.toLocalIterator()]] = True  # at most SLOTS rows, whatever the benchmark
-    near = texts.mapInArrow(lean(_stretches(sorted(got[1]), np.packbits(bits).tobytes(), int(got[0] * 1.5) + gram)), "doc_id long, start long, words array<long>, seeds array<long>")
+    # n matches, less one for each word of the text that has none, score 2 n threshold at least
+    reach = int(got[0] * max(3 - MATCH * threshold, 1)) + gram
+    near = texts.mapInArrow(lean(_stretches(sorted(got[1]), np.packbits(bits).tobytes(), reach)), "doc_id long, start long, words array<long>, seeds array<long>")
     near = s.keep(near, "near")
     hits = near.select("doc_id", "start", "words", F.explode(F.array_distinct("seeds")).alias("seed"))
     pairs = hits.join(seeds.select("item_id", F.col("words").alias("item"), "seed"), "seed").drop("seed").dropDuplicates(["doc_id", "start", "item_id", "item", "words"])

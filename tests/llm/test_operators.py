@@ -359,6 +359,18 @@ def test_leaks_are_those_of_all_pairs(spark):
     assert len(want) > 10 and {k: round(v, 6) for k, v in best.items()} == {k: round(v, 6) for k, v in want.items()}
 
 
+def test_leaks_with_many_inserted_words_are_found(spark):
+    """Of 40 words three stand together, at the start or the end, and a new word
+    is before each other: the text is almost twice as long as the item."""
+    r = random.Random(17)
+    item = [f"i{k}" for k in range(40)]
+    apart = [x for k, w in enumerate(item[3:]) for x in (f"new{k}", w)]
+    texts = [item[:3] + apart, [x for k, w in enumerate(item[:-3]) for x in (w, f"new{k}")] + item[-3:]]
+    docs = table(spark, [(k, f"{words(r, 100)} {' '.join(t)} {words(r, 100)}", "s") for k, t in enumerate(texts)])
+    got = contamination.leaks(docs, spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["item_id"], x["score"], x["start_word"], x["end_word"]) for x in got) == [(k, 5, 43 / 80, 100, 177) for k in range(2)]
+
+
 @pytest.mark.parametrize("limit", [contamination.VOCABULARY, 10])
 def test_leaks_without_their_rare_words_are_found(spark, monkeypatch, limit):
     """Item words that no document has make no seeds, however words are counted."""
